@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, mixing
+from . import chat, decontam, license_scan, mixing, token_files
 from .common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_files.encode_documents(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     d = mixing.mix_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -36,7 +41,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_mixing, op6_chat_format, op9_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op6_chat_format, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
