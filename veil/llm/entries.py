@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, mixing, ngram_join, token_files
+from . import chat, decontam, license_scan, mixing, ngram_join, quality, token_files
 from .common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.conflict_rows(spark))
@@ -46,7 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op6_chat_format, op7_ngram_join, op9_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
