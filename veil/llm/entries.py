@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, license_scan, mixing, ngram_join, quality, token_files
+from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, token_files
 from .common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,13 +45,18 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return langid.language_of(read(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.templates(spark))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op9_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op8_language_id, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
