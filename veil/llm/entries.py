@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, token_files
+from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, token_files, toxicity
 from .common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"), license_scan.templates(spark))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op8_language_id, op9_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op8_language_id, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
