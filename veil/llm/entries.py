@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, token_files, toxicity
+from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, suffix_dedup, token_files, toxicity
 from .common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_dedup.passages(read(spark, sf_dir, "documents")).select("doc_id", "n_dup_words", "longest")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality.quality(read(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op5_quality_rules, op6_chat_format, op7_ngram_join, op8_language_id, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_mixing, op4_suffix_dedup, op5_quality_rules, op6_chat_format, op7_ngram_join, op8_language_id, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
