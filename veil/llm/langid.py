@@ -172,35 +172,37 @@ def viterbi(emit: np.ndarray, rows: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
+def labelled(batch: pa.RecordBatch, model: Model | None, switch: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language and score of each row; the path of all words, and the rows' offsets in it."""
+    k = batch.num_rows
+    lang, score = [UND] * k, np.zeros(k)
+    if model is None:
+        return lang, score, np.zeros(0, np.int16), np.zeros(k + 1, np.int64)
+    texts = batch.column("text")
+    w = Words(texts)
+    path = viterbi(model.emissions(w), w.rows, switch)
+    letters = w.scripts > 0
+    owner = bytekit.row_of(w.rows)
+    votes = np.bincount(owner[letters] * len(model.langs) + path[letters], minlength=k * len(model.langs)).reshape(k, -1)
+    top, total = votes.argmax(1), votes.sum(1)
+    for i in range(k):
+        # bytes tell scripts, characters tell letters; a letter of no listed script leaves the first language at score 0
+        if has_letter(texts[i].as_py()):
+            lang[i] = model.langs[top[i]]
+            score[i] = votes[i, top[i]] / max(1, total[i])
+    return lang, score, path, w.rows
+
+
 def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """docs (doc_id, text) to (doc_id, lang_pred, score), and spans of words by language if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in bytekit.slices(batches):
-            k = batch.num_rows
-            lang, score, found = [UND] * k, np.zeros(k), [[] for _ in range(k)]
-            if known is not None:
-                w = Words(batch.column("text"))
-                path = viterbi(known.emissions(w), w.rows, switch)
-                letters = w.scripts > 0
-                owner = bytekit.row_of(w.rows)
-                votes = np.bincount(owner[letters] * len(known.langs) + path[letters], minlength=k * len(known.langs)).reshape(k, -1)
-                top = votes.argmax(1)
-                plain = votes.sum(1) > 0
-                texts = batch.column("text")
-                for i in range(k):
-                    # a non-ASCII word counts as Latin or other script by its bytes; letters are sure only by character
-                    if plain[i] and has_letter(texts[i].as_py()):
-                        lang[i] = known.langs[top[i]]
-                        score[i] = votes[i, top[i]] / votes[i].sum()
-                    elif has_letter(texts[i].as_py()):
-                        lang[i] = known.langs[0]
-                if spans:
-                    found = [span_list(path[a:b], known.langs) for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)]
+            lang, score, path, rows = labelled(batch, shared.value, switch)
             cols = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)]
             if spans:
+                found = [span_list(path[a:b], shared.value.langs if shared.value else []) for a, b in zip(rows[:-1], rows[1:], strict=True)]
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.record_batch(cols, ["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
@@ -237,3 +239,14 @@ def language_of(docs: DataFrame) -> DataFrame:
     out = F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False))
     model = learn(docs.where(~out))
     return identify(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id"), 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float, switch: float = SWITCH) -> DataFrame:
+    """Rows of docs, all columns, whose language is known with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bytekit.slices(batches):
+            yield batch.filter(pa.array([x >= least for x in labelled(batch, shared.value, switch)[1]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
