@@ -1,19 +1,86 @@
-"""The corpus pipeline; its stages follow as their operators are written."""
+"""The corpus pipeline: raw documents to a mixed, tokenised training set.
+
+Every stage takes the documents that its predecessor kept and returns documents, all
+columns; the last returns what its token files hold.  run() writes each stage's result as
+Parquet to the shared folder and reads it again, so a lost executor costs one stage at
+most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veil.llm.common import read
+from veil.llm import decontam, langid, mixing, ngram_join, token_files
+from veil.llm.common import cut, prepare, read, small
 
-STAGES: list = []
+#: Ids that may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: A document's main language must have this share of its words.
+LEAST_LANGUAGE = 0.4
 
 ORACLE_SQL: str | None = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters or without a main language."""
+    prepare(spark)
+    out = F.coalesce(langid.held_out(F.col("doc_id"), 4, 2), F.lit(False))
+    return langid.keep_identified(docs, langid.learn(docs.where(~out)), LEAST_LANGUAGE)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not in ids."""
+    ids = cut(ids.select("doc_id").distinct())
+    return docs.join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the least id of each group of near copies; repeated rows are one."""
+    prepare(spark)
+    found = cut(ngram_join.near_components(docs))
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    kept = without(docs, found.where("component_id <> doc_id"))
+    n = again.count()
+    if not n:
+        return kept
+    once = kept.join(small(again, n, BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without(kept, again).unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item's window."""
+    prepare(spark)
+    return without(docs, decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that sources reach their target shares of words."""
+    prepare(spark)
+    mixed = mixing.mix_documents(docs, read(spark, sf_dir, "labels")).where("taken > 0 and id is not null")
+    copies = cut(mixed.groupBy(F.col("id").alias("doc_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies")))
+    d = docs.join(small(copies, copies.count(), BROADCAST_IDS), "doc_id")
+    return d.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token files and return what they hold."""
+    prepare(spark)
+    return token_files.encode_documents(spark, docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     docs = read(spark, sf_dir, "documents")
     for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
