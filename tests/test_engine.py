@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veil.operators import audit, spans
+from veil.operators import audit, mapping, spans
 from veil.operators.rules import REGISTRY, RULES, Config, Registry, explode_entities
 from veil.plans.engine import Engine
 
@@ -85,3 +85,11 @@ def test_resolved_spans_never_overlap(spark, sf_dir):
     d = Engine(CONFIG).detect(docs).select("doc_id", "text", "entities")
     assert spans.violations(explode_entities(d, "doc_id"), docs).count() == 0
     assert d.where(F.size("entities") > 0).count() > 0
+
+
+def test_ranks_run_from_one_in_each_type(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3, "A").otherwise("B").alias("pii_type"), F.col("id").cast("string").alias("key"))
+    got = mapping.ranked(rows, "key", 7)
+    assert got.columns == ["pii_type", "key", "rank"]
+    for kind, n in (("A", 3), ("B", 4997)):
+        assert sorted(r["rank"] for r in got.where(F.col("pii_type") == kind).collect()) == list(range(1, n + 1))

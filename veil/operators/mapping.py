@@ -19,6 +19,9 @@ from veil.functions.text import let
 from .rules import Config
 
 ATTEMPTS = 12
+#: Ranks are dealt over this many ranges of 64-bit hashes; the shift leaves their number.
+RANGES = 4096
+RANGE_SHIFT = 52
 MAPPED = "array<struct<pii_type:string,key:string,surface:string,fake:string>>"
 
 
@@ -143,12 +146,28 @@ def assign(docs: DataFrame, config: Config, scope: str = "doc_id", column: str =
     return d.withColumn("mapping", F.map_from_entries(once)).select(*keep, "assigned", "mapping")
 
 
+def ranked(rows: DataFrame, column: str, seed: int) -> DataFrame:
+    """rows with rank, from 1 in each type, in order of a keyed hash.
+
+    Ranks are counted inside hash ranges, and the sizes of lower ranges are added, so no
+    task holds all values of a type.  The sizes are RANGES rows a type at most.
+    """
+    d = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(column))).withColumn("_range", F.shiftright("_h", RANGE_SHIFT))
+    lower = Window.partitionBy("pii_type").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("pii_type", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("pii_type", "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("pii_type", "_range").orderBy("_h", column))
+    d = d.withColumn("_inside", inside).join(F.broadcast(sizes), ["pii_type", "_range"])
+    return d.withColumn("rank", F.col("_before") + F.col("_inside")).drop("_h", "_range", "_inside", "_before")
+
+
 def corpus_mapping(entities: DataFrame, config: Config, pool: DataFrame) -> DataFrame:
     """One fake per (type, key) over all documents, from a pool (pii_type, candidate).
 
     Candidates that are real values, or hold a real name's token, are taken out by anti
     joins; keys and candidates are ranked by keyed hashes and meet by rank, so no fake is
-    given twice and nothing needs a retry.  Keys beyond the pool's size have a null fake.
+    given twice and nothing needs a retry.  entities is read several times: pass a written
+    table where it is costly.  Keys beyond the pool's size have a null fake.
     """
     keyed = entities.withColumn("key", S.normalise_key(F.col("pii_type"), F.col("text")))
     keys = keyed.groupBy("pii_type", "key").agg(F.min("text").alias("surface"))
@@ -157,7 +176,6 @@ def corpus_mapping(entities: DataFrame, config: Config, pool: DataFrame) -> Data
     p = pool.withColumn("low", F.lower("candidate")).join(reals, "low", "left_anti")
     bad = p.select("pii_type", "low", F.explode(long_tokens(F.col("candidate"))).alias("token")).join(tokens, "token", "left_semi").select("pii_type", "low").distinct()
     p = p.join(bad, ["pii_type", "low"], "left_anti")
-    order = lambda c: Window.partitionBy("pii_type").orderBy(F.xxhash64(F.lit(config.seed), F.col(c)), c)
-    k = keys.withColumn("rank", F.row_number().over(order("key")))
-    p = p.withColumn("rank", F.row_number().over(order("candidate"))).select("pii_type", "rank", F.col("candidate").alias("fake"))
+    k, p = ranked(keys, "key", config.seed), ranked(p, "candidate", config.seed)
+    p = p.select("pii_type", "rank", F.col("candidate").alias("fake"))
     return k.join(p, ["pii_type", "rank"], "left").select("pii_type", "key", "surface", "fake")

@@ -303,7 +303,8 @@ def surrogate_shapes(spark, sf_dir):
 
 @query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS real")
 def consistency_map(spark, sf_dir):
-    entities = explode_entities(Engine(CONFIG).detect(documents(spark, sf_dir)), "doc_id").where("pii_type = 'EMAIL'")
+    mails = Config(enabled_types=("EMAIL",), as_of=AS_OF)
+    entities = explode_entities(Engine(mails).detect(documents(spark, sf_dir)), "doc_id")
     pool = table(spark, sf_dir, "customer").select(F.lit("EMAIL").alias("pii_type"), F.format_string("user%d@example.org", F.col("c_custkey")).alias("candidate"))
     m = mapping.corpus_mapping(entities, CONFIG, pool).where("fake is not null")
     again = m.groupBy("pii_type", "fake").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
