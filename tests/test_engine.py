@@ -93,3 +93,10 @@ def test_ranks_run_from_one_in_each_type(spark):
     assert got.columns == ["pii_type", "key", "rank"]
     for kind, n in (("A", 3), ("B", 4997)):
         assert sorted(r["rank"] for r in got.where(F.col("pii_type") == kind).collect()) == list(range(1, n + 1))
+
+
+def test_probe_values_name_their_probe(spark):
+    from veil.operators import audit
+
+    d = spark.createDataFrame([(1, "write to a.b@example.com or Attn: Jane Doe"), (2, None)], "doc_id long, text string")
+    assert {tuple(r) for r in audit.probe_values(d).collect()} == {(1, "email", "a.b@example.com"), (1, "labelled_person", "Jane Doe")}

@@ -54,7 +54,12 @@ def clean_name(value: Column) -> Column:
 
 def probe_values(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, probe, value): distinct values of four characters or more."""
-    found = [F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(g)), lambda v, n=n: F.struct(F.lit(n).alias("probe"), v.alias("value"))) for n, (p, g) in PROBES.items()]
+
+    def found_by(name: str, pattern: str, group: int) -> Column:
+        found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(group))
+        return F.transform(found, lambda v: F.struct(F.lit(name).alias("probe"), v.alias("value")))
+
+    found = [found_by(name, *probe) for name, probe in PROBES.items()]
     d = docs.select(key, F.explode_outer(F.concat(*found)).alias("x")).where("x is not null").select(key, "x.*")
     person = F.col("probe").isin("labelled_person", "honorific_person")
     d = d.withColumn("value", F.trim(F.when(person, clean_name(F.col("value"))).otherwise(F.col("value"))))
