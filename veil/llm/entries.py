@@ -47,7 +47,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return ngram_join.near_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_join.near_links(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

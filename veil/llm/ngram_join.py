@@ -9,14 +9,20 @@ The tree alone cannot be dealt over machines (boxes of unrelated documents overl
 documents first meet in groups by 40 min-hash keys of 3 minima each; a pair at a Jaccard
 of 0.75 misses all of them with probability (1 - 0.75**3)**40 = 3e-10, a closer pair with
 less.  Each group is joined twice: first against its most central member, then, once these
-links are components, by the tree between members of different components only.  So a
-group of thousands of near copies costs a few links each, not all pairs.  Groups above
-BLOCK members are dealt as pairs of blocks.
+links are components, by the tree between members of different components only.  So
+finding the components of a group of thousands of near copies takes a few links each.
+Groups above BLOCK members are dealt as pairs of blocks.
+
+near_links() then counts all links.  A link lies inside one component, so the classes of a
+component are joined with each other by the tree, in pairs of blocks, and every pair that
+the tree leaves is verified where it is found; the tasks return a count per class, not
+pairs.  This costs the square of a component's classes at worst, as its links may.
 
 Defined results: null and empty texts have no shingles and link with nothing, so each is
-its own component; fewer words than a shingle's make one shingle; repeated rows get a row
-each and the same component; rows whose id is null are left without a component; other
-columns are ignored; an empty table gives no rows.
+its own component, with 0 links; fewer words than a shingle's make one shingle; repeated
+rows get a row each and the same component; rows whose id is null are left without a
+component and without a number of links; other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ BANDS, MINIMA = 40, 3
 GROUPS = 256
 #: Members of a key that one task joins; a larger group is dealt as pairs of such blocks.
 BLOCK = 1000
+#: Shingles of a block of a component's classes, on average.
+BLOCK_SHINGLES = 1_000_000
 #: Points of a node of the tree.
 FAN = 16
 #: Pairs that may be broadcast (16 bytes each).
@@ -158,6 +166,27 @@ def group_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, vectors:
             yield (int(ids[i]), int(ids[j]))
 
 
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the columns by, which the batches are sorted by."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in by]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, int)
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            part = batch.slice(int(a), int(b - a))
+            now = tuple(int(c[a]) for c in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def tree_pairs(members: DataFrame) -> DataFrame:
     """members (key, id, label, size, counts) to candidate pairs (a, b) across labels."""
     big = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
@@ -170,25 +199,8 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     d = d.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            held: list[pa.RecordBatch] = []
-            last = None
-            for batch in batches:
-                cols = [batch.column(c).to_numpy() for c in ("key", "lo", "hi")]
-                cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, int)
-                for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                    part = batch.slice(int(a), int(b - a))
-                    now = tuple(int(c[a]) for c in cols)
-                    if held and now != last:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    held.append(part)
-                    last = now
-            if held:
-                yield pa.Table.from_batches(held)
-
         seen: set[tuple[int, int]] = set()
-        for t in groups():
+        for t in groups(batches, ("key", "lo", "hi")):
             if t.num_rows < 2:
                 continue
             vectors = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(t.num_rows, GROUPS)
@@ -253,13 +265,77 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id, component_id.
+def link_counts(values: np.ndarray, rows: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Links of each set to sets of the other side; sides 0 and 1 are two blocks, 2 a block with itself."""
+    sizes = np.diff(rows)
+    n = len(sizes)
+    out = np.zeros(n, np.int64)
+    left, right = (np.flatnonzero(sides == x) for x in ((2, 2) if (sides == 2).all() else (0, 1)))
+    if not len(left) or not len(right):
+        return out
+    vectors = np.bincount(bytekit.row_of(rows) * GROUPS + (values >> np.uint64(11)).astype(np.int64) % GROUPS, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+    distinct, item = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
+    tree = Tree(vectors[right], sizes[right])
+    for i in left:
+        found = right[tree.search(vectors[i], int(sizes[i]))]
+        if sides[i] == 2:
+            found = found[found > i]
+        mine = item[rows[i] : rows[i + 1]]
+        mark[mine] = True
+        # as many sets at once as have about a block's shingles
+        for some in np.split(found, np.flatnonzero(np.diff(np.cumsum(sizes[found]) // BLOCK_SHINGLES)) + 1):
+            if len(some):
+                hit = mark[item[bytekit.ranges(rows[:-1][some], sizes[some])]]
+                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                linked = some[100 * shared >= 75 * (sizes[i] + sizes[some] - shared)]
+                out[linked] += 1
+                out[i] += len(linked)
+        mark[mine] = False
+    return out
 
-    class_id is the least id with the very same set; component_id the least id reached by links.
-    """
+
+def counted_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """classes (class_id, set_high, set_low, size, component) to their (class_id, set_high, set_low, n_links), those without links left out."""
+    groups_ = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    d = cut(classes.join(groups_.select("component", blocks.alias("blocks")), "component"))
+    n = d.count()
+    # an id that stands with several texts may have several classes: each row finds its own by its set
+    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(small(d.drop("size"), n, BROADCAST_PAIRS // 2), "class_id")
+    texts = texts.withColumn("mine", F.pmod(F.xxhash64("set_high", "set_low"), F.col("blocks")).cast("int"))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    texts = texts.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "class_id", "set_high", "set_low", "text")
+    # a block's pairs inside itself are made where it stands alone
+    texts = texts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ("component", "lo", "hi")):
+            values, rows = shingle_sets(t.column("text").combine_chunks())
+            sizes = np.diff(rows)
+            high, low = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                high[some] = np.add.reduceat(values, rows[:-1][some])
+                low[some] = np.add.reduceat(bytekit.mix(values), rows[:-1][some])
+            high, low = high.view(np.int64), low.view(np.int64)
+            own = np.flatnonzero((sizes > 0) & (high == t.column("set_high").to_numpy()) & (low == t.column("set_low").to_numpy()))
+            # repeated rows are one
+            own = own[np.sort(np.unique(np.stack([high[own], low[own]]), axis=1, return_index=True)[1])]
+            values = values[bytekit.ranges(rows[:-1][own], sizes[own])]
+            links = link_counts(values, np.concatenate([[0], np.cumsum(sizes[own])]), t.column("side").to_numpy()[own])
+            t = t.take(own[links > 0])
+            for batch in t.select(["class_id", "set_high", "set_low"]).append_column("n", pa.array(links[links > 0])).combine_chunks().to_batches():
+                yield batch
+
+    return texts.mapInArrow(run, "class_id long, set_high long, set_low long, n long").groupBy("class_id", "set_high", "set_low").agg(F.sum("n").alias("n_links"))
+
+
+def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """near_components() with the set of each row, and the classes (class_id, set_high, set_low, size)."""
     s = cut(sketches(docs))
-    classes = cut(s.where("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low").agg(F.min("doc_id").alias("class_id")))
+    classes = cut(s.where("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("size")))
     reps = s.where("n_shingles > 0").join(classes, (s["doc_id"] == classes["class_id"]) & (s["set_high"] == classes["set_high"]) & (s["set_low"] == classes["set_low"]), "left_semi")
     points = cut(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "counts", "keys"))
     keyed = points.select("id", F.explode("keys").alias("key"))
@@ -276,7 +352,27 @@ def near_components(docs: DataFrame) -> DataFrame:
     more = cut(verified(tree_pairs(open_members), docs))
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(every)
-    d = s.select("doc_id", "n_shingles", "set_high", "set_low").join(classes, ["set_high", "set_low"], "left")
+    d = s.select("doc_id", "n_shingles", "set_high", "set_low").join(classes.drop("size"), ["set_high", "set_low"], "left")
     d = d.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
     d = d.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return d.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id")
+    return d.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), component, "set_high", "set_low"), classes
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, class_id, component_id.
+
+    class_id is the least id with the very same set; component_id the least id reached by links.
+    """
+    return _near(docs)[0].drop("set_high", "set_low")
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """near_components() with n_links: how many other classes, each one different set, the row's class is linked to."""
+    d, classes = _near(docs)
+    d = cut(d)
+    of_class = d.where("n_shingles > 0 and doc_id is not null").groupBy("class_id", "set_high", "set_low").agg(F.min("component_id").alias("component"))
+    links = counted_links(classes.join(of_class, ["class_id", "set_high", "set_low"]), docs)
+    d = d.join(links, ["class_id", "set_high", "set_low"], "left")
+    n = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return d.select("doc_id", "n_shingles", "class_id", "component_id", n.alias("n_links"))
