@@ -4,10 +4,11 @@ A text is a bag of sentences; its label says whether any is toxic.  A sentence s
 sigmoid(bias + sum of its words' weights), the text 1 - prod(1 - sentence score) (noisy
 or).  Weights and bias are trained by gradient descent on that likelihood.  Candidate
 words come from counts over all labelled texts: those whose share of toxic texts is
-significantly above the rest.  The fit then uses at most FIT_ROWS labelled texts, those
-with the least hash of their id, which bounds the driver's memory; words that are no
-candidates have weight 0, so a text is fitted by its candidate words and its sentences'
-number alone.
+significantly above the rest, all of them, however many; the driver and each task hold 16
+bytes a word.  The fit then uses at most FIT_ROWS labelled texts, those with the least hash
+of their id, which bounds its rows; words that are no candidates have weight 0, so a text
+is fitted by its candidate words and its sentences' number alone.  A candidate in none of
+these texts has the weight at which a sentence of it alone scores its share of toxic texts.
 
 Defined results: null and empty texts have one empty sentence; a text that is labelled
 twice counts with its highest label; without labels of both kinds every text scores the
@@ -30,8 +31,6 @@ from .langid import held_out
 
 #: Labelled texts that the fit takes at most.
 FIT_ROWS = 20_000
-#: Words that a model holds at most, the most significant ones.
-MOST_WORDS = 4096
 #: Texts in which a candidate word stands at least, and its least z-score.
 LEAST_TEXTS, LEAST_Z = 4, 4.0
 #: Labels that may be broadcast (16 bytes each).
@@ -84,26 +83,31 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return d.groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
 
 
-def candidates(rows: DataFrame) -> tuple[np.ndarray, float, int]:
-    """Sorted hashes of candidate words, the share of toxic texts, and the number of texts."""
+def candidates(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Sorted hashes of all candidate words, their logits of the share of toxic texts, that share over all texts, and the number of texts."""
     n, t = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     if not n or not t or t == n:
-        return np.zeros(0, np.uint64), (t or 0) / n if n else 0.0, n
+        return np.zeros(0, np.uint64), np.zeros(0), (t or 0) / n if n else 0.0, n
     rate = t / n
     both = F.col("plain") + F.col("toxic")
     z = (F.col("toxic") - both * rate) / F.sqrt(both * (rate * (1 - rate)))
-    d = word_counts(rows).where((both >= LEAST_TEXTS) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(MOST_WORDS)
-    words = np.array([r[0] for r in d.select("word").collect()], np.int64).view(np.uint64)
-    return np.sort(words), rate, n
+    d = word_counts(rows).where((both >= LEAST_TEXTS) & (z >= LEAST_Z))
+    # as Arrow columns, as rows would be hundreds of bytes a word
+    found = d.select("word", F.log((F.col("toxic") + 0.5) / (F.col("plain") + 0.5)).alias("logit")).toArrow()
+    words = found.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return words[order], found.column("logit").to_numpy()[order], rate, n
 
 
 def bags(rows: DataFrame, words: np.ndarray) -> DataFrame:
     """(toxic, sentences, at, item): per text, its number of sentences and its candidate words by sentence."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytekit.slices(batches):
             s = Sentences(batch.column("text"))
-            at, item = known(s.word, words)
+            at, item = known(s.word, shared.value)
             owner = bytekit.row_of(s.rows)[at]
             local = s.sentence[at] - s.of_rows[:-1][owner]
             size = np.bincount(owner, minlength=batch.num_rows)
@@ -162,7 +166,7 @@ def fit(y: np.ndarray, of_text: np.ndarray, empty: np.ndarray, sentence: np.ndar
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels)
-    words, rate, total = candidates(rows)
+    words, logits, rate, total = candidates(rows)
     if not len(words):
         return Model(words, np.zeros(0), -30.0, rate)
     # the hash is uniform, so a threshold leaves FIT_ROWS texts at most (19,000 are expected of 20,000)
@@ -181,6 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     of_text = pair[cuts, 0]
     empty = t.column("sentences").to_numpy() - np.bincount(of_text, minlength=len(y))
     weights, bias = fit(y, of_text, np.maximum(empty, 0), sentence, pair[:, 2], len(words), rate)
+    unseen = np.bincount(pair[:, 2], minlength=len(words)) == 0
+    weights[unseen] = logits[unseen] - bias
     return Model(words, weights, bias, rate)
 
 
