@@ -167,7 +167,7 @@ def corpus_mapping(entities: DataFrame, config: Config, pool: DataFrame) -> Data
     Candidates that are real values, or hold a real name's token, are taken out by anti
     joins; keys and candidates are ranked by keyed hashes and meet by rank, so no fake is
     given twice and nothing needs a retry.  entities is read several times: pass a written
-    table where it is costly.  Keys beyond the pool's size have a null fake.
+    table where it is costly.  A key beyond the pool's size raises.
     """
     keyed = entities.withColumn("key", S.normalise_key(F.col("pii_type"), F.col("text")))
     keys = keyed.groupBy("pii_type", "key").agg(F.min("text").alias("surface"))
@@ -178,4 +178,5 @@ def corpus_mapping(entities: DataFrame, config: Config, pool: DataFrame) -> Data
     p = p.join(bad, ["pii_type", "low"], "left_anti")
     k, p = ranked(keys, "key", config.seed), ranked(p, "candidate", config.seed)
     p = p.select("pii_type", "rank", F.col("candidate").alias("fake"))
-    return k.join(p, ["pii_type", "rank"], "left").select("pii_type", "key", "surface", "fake")
+    fake = F.coalesce("fake", F.raise_error(F.concat(F.lit("no free surrogate for type "), F.col("pii_type"))).cast("string"))
+    return k.join(p, ["pii_type", "rank"], "left").select("pii_type", "key", "surface", fake.alias("fake"))
