@@ -55,12 +55,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources reach their target shares of words."""
+    """Repeat or drop documents so that sources reach their target shares of words.
+
+    Each row has its own number of copies, also one without an id or with that of others.
+    """
     prepare(spark)
-    mixed = mixing.mix_documents(docs, read(spark, sf_dir, "labels")).where("taken > 0 and id is not null")
-    copies = cut(mixed.groupBy(F.col("id").alias("doc_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies")))
-    d = docs.join(small(copies, copies.count(), BROADCAST_IDS), "doc_id")
-    return d.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # written with the numbers, as they need not be the same when made again
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    mixed = mixing.mix_documents(rows, read(spark, sf_dir, "labels"), row="_row").where("taken > 0")
+    copies = cut(mixed.select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_copies")))
+    d = rows.join(small(copies, copies.count(), BROADCAST_IDS), "_row")
+    return d.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

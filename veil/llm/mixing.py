@@ -70,6 +70,7 @@ def mix(
 ) -> DataFrame:
     """(id, source, size, quality) to (id, source, size, source_size, target, taken).
 
+    A column row, a key of the row itself, is carried through where rows has one.
     taken is a whole multiple of size: the epochs of the source, plus one for rows within
     the rest of the budget.  The row at the edge is taken if more than half of it fits, so
     a source misses its target by half a row at most.
@@ -78,20 +79,21 @@ def mix(
     key = exponential_key(F.col("id"), weight, seed)
     # 1 - exp(-key) is uniform for weight 1 and monotone for all
     bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    rows = cut(rows.select("id", "source", "size", key.alias("key")).withColumn("bucket", bucket))
+    own = ["row"] if "row" in rows.columns else []
+    rows = cut(rows.select("id", "source", "size", *own, key.alias("key")).withColumn("bucket", bucket))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = water_fill(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)).alias("bucket_from"))
     sums = sums.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "t.source_size", "t.target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = rows.alias("r").join(sums.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
     more = (F.col("bucket_from") + F.col("before") + F.col("r.size") / 2.0 < rest).cast("long")
     taken = ((epochs + more) * F.col("r.size")).cast("long")
-    return joined.select("id", F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", taken.alias("taken"))
+    return joined.select("id", *own, F.col("r.source").alias("source"), F.col("r.size").alias("size"), "source_size", "target", taken.alias("taken"))
 
 
 def quality_of(labels: DataFrame) -> DataFrame:
@@ -99,8 +101,9 @@ def quality_of(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("quality"))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """mix() of a documents table, weighted by labels.quality where a row has one."""
-    d = docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"))
+def mix_documents(docs: DataFrame, labels: DataFrame, row: str | None = None, **how) -> DataFrame:
+    """mix() of a documents table, weighted by labels.quality where a row has one; row names a column that tells rows apart."""
+    own = [F.col(row).alias("row")] if row else []
+    d = docs.select(F.col("doc_id").alias("id"), "source", *own, word_count(F.col("text")).alias("size"))
     d = d.join(quality_of(labels).withColumnRenamed("doc_id", "id"), "id", "left")
     return mix(d, **how)
