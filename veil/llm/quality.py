@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from . import bytekit
 
 MIN_REPEAT = 10
-MAX_COVERED = 0.45
+#: Gopher's limit for duplicate 10-grams (Rae et al. 2021, table A1).  Words of such repeats
+#: also stand in repeated 3-word windows, so a limit near the base rule's 0.5 would not act.
+MAX_COVERED = 0.1
 MAX_REPEAT = 100
 SYMBOLS = np.zeros(256, bool)
 for _c in b"#*$%&|<>":
