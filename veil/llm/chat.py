@@ -77,9 +77,9 @@ def format_conversations(rows: DataFrame, loss_roles: Sequence[str] = ("assistan
 
 
 def conflict_rows(spark: SparkSession) -> DataFrame:
-    """Conversation -7, whose texts hold the template's own marks."""
-    said = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    """Conversation -7, whose texts hold the template's own marks, as literals of one row."""
+    turns = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for n, role in enumerate(("user", "assistant"))]
+    return spark.range(1).select(F.inline(F.array(*turns)))
 
 
 def digest(conversations: DataFrame) -> DataFrame:

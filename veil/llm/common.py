@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.store import cut, release, remove, shared_path, small
+
+__all__ = ["ascii_lower", "cut", "name_words", "prepare", "read", "release", "remove", "row_key", "shared_path", "small"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
+#: Bytes of an Arrow batch that goes to a Python worker; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
 #: Runs of these are words once A-Z is lowered: digits, a-z and everything outside ASCII.
 NAME_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Runs of anything but ASCII white space.
@@ -19,8 +24,11 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches and make this package importable in Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Make this package importable in Python workers, and bound the bytes of an Arrow batch.
+
+    The bound stays set for the session, as a plan reads it only when it runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -29,45 +37,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a private one only where that is unset."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir", None)
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return set_to or now.get()
-    if not set_to:
-        set_to = "file://" + tempfile.mkdtemp(prefix="veil-")
-    sc.setCheckpointDir(set_to)
-    return set_to
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
-
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df marked for broadcast if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if rows <= most else df
 
+def row_key(*columns: str) -> Column:
+    """64 bits of a row's content, the same whenever the row is read again.
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    Rows without an id, and rows that share one, are told apart by their text; rows that
+    are alike in all columns share a key, and every result of theirs.  Two different rows
+    of n share one by chance with a probability of n * n / 2**65.
+    """
+    # a null is skipped by the hash, so its place is hashed too
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,16 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join (native).
 
 An item's windows are sets of word shingles.  A window occurs only where all its shingles
-do, so for containment the necessary prefix is its rarest shingle, rarity being counted
-over all documents.  Documents join on prefix shingles alone; the candidate's start must
-leave room for the window on both sides (length and positional bounds), and the words
-themselves are compared at last.  Windows with a shingle that no document has are dropped
-before the join.
-
-Defined results: null and empty texts have no words; an item without words has no window;
-rows that share an id are one document, repeated rows and repeated items count once; an
-item whose id is null still marks words but is not listed; an empty benchmark leaves all
-documents clean; other columns are ignored.
+do, so for containment the necessary prefix is its rarest shingle.  One pass over the texts
+finds the places of all item shingles; they are written, and give both the shingles' counts
+over all documents and, joined with the prefix shingles alone, the candidates.  Windows with
+a shingle that no document has are dropped before that join.  A candidate's start must
+leave room for the window on both sides (length and positional bounds); then the few
+candidates join their texts and the words themselves are compared.
+
+Defined results: every row gets a row, rows that share an id or have none are judged by
+their own text; null and empty texts have no words; an item without words has no window;
+repeated items count once; an item whose id is null still marks words but is not listed; an
+empty benchmark leaves all documents clean; a tie of equally rare shingles goes to the first
+in the window; other columns are ignored; a very long text costs a row per word, and its hits
+meet in one row.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, name_words
-from .grams import gram_hash, hashed, known, positions
+from .common import cut, name_words, small
+from .grams import gram_of, keyed, places
 
 WINDOW = 10
 SHINGLE = 3
+#: Bytes of a document's candidates, some of 100 each, with what a hash table adds.
+CANDIDATE_BYTES = 2000
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -40,45 +45,50 @@ def shingles(wins: DataFrame, size: int = SHINGLE) -> DataFrame:
     d = d.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("width") - F.col("gram_width"))))
     gram = F.lit(None).cast("long")
     for n in range(size, 0, -1):
-        gram = F.when(F.col("gram_width") == n, gram_hash(n, [F.get("w", F.col("offset") + j) for j in range(n)])).otherwise(gram)
+        gram = F.when(F.col("gram_width") == n, gram_of(F.col("w"), F.col("offset"), n)).otherwise(gram)
     return d.select("window", "width", "gram_width", "offset", gram.alias("gram"))
 
 
-def prefixes(docs: DataFrame, grams: DataFrame, widths: list[int]) -> DataFrame:
-    """The rarest shingle of each window that can occur in docs: (window, width, offset, gram)."""
-    wanted = cut(grams.select("gram").distinct())
-    places = hashed(positions(docs), widths).select("gram")
-    counts = places.join(known(wanted, wanted.count()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    d = grams.join(counts, "gram", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"), F.col("offset")))
-    return d.groupBy("window", "width").agg(rarest.alias("r")).where("r.n > 0").select("window", "width", "r.offset", "r.gram")
+def prefixes(grams: DataFrame, counts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rarest shingle of each window that can occur: (window, width, offset, gram)."""
+    # count and offset as one number, so that the least is found by a hash aggregate
+    rank = F.coalesce("n", F.lit(0)) * (size + 1) + F.col("offset")
+    d = grams.join(counts, "gram", "left").withColumn("rank", rank)
+    least = d.groupBy("window").agg(F.min("rank").alias("rank")).where(F.col("rank") >= size + 1)
+    return d.join(least, ["window", "rank"], "left_semi").select("window", "width", "offset", "gram")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: n_words, spans of hit words, n_hit, and the items found."""
+    """One row per row of docs: row, doc_id, n_words, spans of hit words, n_hit, and the items found."""
     wins = cut(windows(items, window))
     grams = cut(shingles(wins, shingle))
     widths = sorted(r[0] for r in grams.select("gram_width").distinct().collect()) or [shingle]  # at most `shingle` of them
-    first = cut(prefixes(docs, grams, widths).withColumn("window_id", F.md5("window")))
-    d = hashed(positions(docs), widths).join(known(first, first.count()), "gram", "left")
+    wanted = cut(grams.select("gram").distinct())
+    rows = keyed(docs)
+    found = cut(places(rows, widths, wanted, wanted.count()), wanted)
+    counts = found.where("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    first = cut(prefixes(grams, counts, window), grams)
     start = F.col("pos") - F.col("offset")
     bounds = (start >= 0) & (start + F.col("width") <= F.col("n_words"))
-    same = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("width")), " ") == F.col("window")
-    hit = F.coalesce(F.col("window").isNotNull() & bounds & same, F.lit(False))
-    d = d.withColumn("hit", hit).where(F.col("hit") | F.col("pos").isNull() | (F.col("pos") == 0))
-    spans = F.collect_set(F.when(F.col("hit"), F.struct(start.alias("start"), (start + F.col("width")).alias("end"))))
-    d = d.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set(F.when(F.col("hit"), F.col("window_id"))).alias("window_ids"))
-    d = cut(d)
-    listed = wins.where("item_id is not null").select(F.md5("window").alias("window_id"), "item_id").distinct()
-    found = d.where(F.size("window_ids") > 0).select("doc_id", F.explode("window_ids").alias("window_id")).join(listed, "window_id")
-    found = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    near = found.where("gram is not null").select("row", "n_words", "pos", "gram").join(first, "gram").where(bounds)
+    near = cut(near.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("width")).alias("end"), "window")).alias("near")))
+    # the words themselves; rows that are alike share a key and are looked at once
+    d = rows.join(small(near, CANDIDATE_BYTES), "row").dropDuplicates(["row"]).withColumn("words", name_words(F.col("text")))
+    same = F.filter("near", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["end"] - c["start"]), " ") == c["window"])
+    hits = cut(d.select("row", same.alias("hits")).where(F.size("hits") > 0))
+    said = hits.select("row", F.explode(F.array_distinct(F.transform("hits", lambda c: c["window"]))).alias("window"))
+    items_of = said.join(wins.where("item_id is not null").select("window", "item_id"), "window")
+    items_of = items_of.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    spans = F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    hits = hits.select("row", spans.alias("spans")).join(items_of, "row", "left")
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).cast("long").alias("n")),
     )["n"]
-    d = d.withColumn("n_hit", covered).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    return d.select("d.doc_id", "n_words", "n_hit", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<string>")
+    d = found.where("first").select("row", "doc_id", "n_words").join(hits, "row", "left")
+    return d.select("row", "doc_id", "n_words", F.coalesce(covered, F.lit(0)).alias("n_hit"), "spans", F.coalesce("items", none).alias("items"))
 
 
 def report(found: DataFrame) -> DataFrame:

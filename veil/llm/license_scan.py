@@ -1,14 +1,19 @@
 """License scans by diagonal voting (native).
 
-All rolling word 3-grams of a text join the positions of the same grams in templates.  A
-copy of a template makes votes on one diagonal, position in the text less position in the
-template; votes are counted per diagonal, neighbouring diagonals (words put in or left
-out) are merged, and a span stands if its votes cover enough of the template.  Base
-phrases are short templates that must be covered wholly on one diagonal.
-
-Defined results: null and empty texts have no words and no license; rows that share an id
-are one document, repeated rows count as often as they stand; with no templates nothing is
-found; other columns are ignored; a text may hold any number of places, all count.
+All rolling word 3-grams of a text join, by hash, the positions of the same grams in
+templates.  A copy of a template makes votes on one diagonal, position in the text less
+position in the template; votes are gathered per diagonal and neighbouring diagonals (words
+put in or left out) are merged.  What could stand then joins its text, and each vote's words
+are compared with the template's.  A span stands if its longest chain of votes that go
+forward in the text and in the template covers enough of the template's grams: a gram that
+is repeated counts once.  Base phrases are short templates that must be covered wholly on
+one diagonal.
+
+Defined results: every row gets a row, rows that share an id or have none are judged by
+their own text; null and empty texts have no words and no license; with no templates nothing
+is found; a text may hold any number of places, all count; labels are sorted by code point;
+other columns are ignored; a very long text costs a row per word, its votes for one template
+meet in one row.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, name_words
-from .grams import gram_hash, known, positions, word_at
+from .common import cut, name_words, small
+from .grams import ROW_BYTES, gram_of, keyed, places
 
 GRAM = 3
 #: Diagonals so near each other belong to one copy.
-SLACK = 4
+SLACK = 8
 #: Share of a template's grams that a copy must show.
 COVER = 0.5
+#: Bytes of what a document may hold, with what a hash table adds.
+SPAN_BYTES = 2000
 
 # Phrases and labels of the base rule.
 PHRASES = [
@@ -49,64 +56,95 @@ NOTICES = [
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """(template, label, base, text) of phrases and notices."""
-    rows = [(n, label, base, text) for n, (text, label, base) in enumerate([(t, k, True) for t, k in phrases] + [(t, k, False) for t, k in notices])]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, text string")
+    """(template, label, base, text) of phrases and notices, as literals of one row."""
+    rows = [(label, base, text) for text, label, base in [(t, k, True) for t, k in phrases] + [(t, k, False) for t, k in notices]]
+    made = [F.struct(F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("base"), F.lit(text).alias("text")) for n, (label, base, text) in enumerate(rows)]
+    kind = "array<struct<template:int,label:string,base:boolean,text:string>>"
+    return spark.range(1).select(F.inline(F.array(*made).cast(kind)))
 
 
 def template_grams(table: DataFrame) -> DataFrame:
-    """(gram, said, template, at, n_grams): positions of every 3-gram of every template."""
+    """(gram, template, label, base, at, n_grams, said): positions of every 3-gram of every template."""
     d = table.select("template", "label", "base", name_words(F.col("text")).alias("w")).where(F.size("w") >= GRAM)
     d = d.withColumn("n_grams", F.size("w") - GRAM + 1).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - GRAM)))
-    parts = [F.get("w", F.col("at") + j) for j in range(GRAM)]
-    return d.select(gram_hash(GRAM, parts).alias("gram"), F.concat_ws(" ", *parts).alias("said"), "template", "label", "base", "at", "n_grams")
+    return d.select(gram_of(F.col("w"), F.col("at"), GRAM).alias("gram"), "template", "label", "base", "at", "n_grams", F.array_join(F.slice("w", F.col("at") + 1, GRAM), " ").alias("said"))
 
 
-def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Votes per (doc_id, template, diagonal); a row with template null for every document."""
-    grams = cut(template_grams(table))
-    d = positions(docs).withColumn("gram", gram_hash(GRAM, [word_at(j) for j in range(GRAM)]))
-    d = d.join(known(grams, grams.count()), "gram", "left")
-    d = d.withColumn("hit", F.coalesce(F.concat_ws(" ", *[word_at(j) for j in range(GRAM)]) == F.col("said"), F.lit(False)))
-    d = d.where(F.col("hit") | F.col("pos").isNull() | (F.col("pos") == 0))
-    on = lambda c: F.when(F.col("hit"), F.col(c)).alias(c)
-    d = d.select("doc_id", "n_words", on("template"), on("label"), on("base"), on("n_grams"), on("pos"), F.when(F.col("hit"), F.col("pos") - F.col("at")).alias("diagonal"))
-    return d.groupBy("doc_id", "template", "label", "base", "n_grams", "diagonal").agg(
-        F.max("n_words").alias("n_words"), F.count("pos").alias("votes"), F.min("pos").alias("first"), (F.max("pos") + GRAM).alias("end"))
-
-
-def spans(counted: DataFrame, slack: int = SLACK, cover: float = COVER) -> DataFrame:
-    """Verified copies of notices: (doc_id, template, label, first, end, covered)."""
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
-    d = counted.where("not base")
-    d = d.withColumn("opens", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(slack + 1)) > slack).cast("int"))
+def diagonals(votes: DataFrame) -> DataFrame:
+    """Votes of (row, template) by diagonal, rows that are alike once: (row, template, label, base, n_grams, diagonal, votes)."""
+    vote = F.struct("pos", "at", "said")
+    return votes.groupBy("row", "template", "label", "base", "n_grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set(vote).alias("votes"))
+
+
+def merged(by_diagonal: DataFrame, slack: int, cover: float) -> DataFrame:
+    """Runs of neighbouring diagonals that could stand; a base phrase's diagonals are runs of their own."""
+    order = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.when(F.col("base"), F.lit(True)).otherwise(F.col("diagonal") - F.lag("diagonal").over(order) > slack)
+    d = by_diagonal.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int"))
     d = d.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.groupBy("doc_id", "template", "label", "n_grams", "run").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("end").alias("end"))
-    d = d.withColumn("covered", F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0)))
-    return d.where(F.col("covered") >= cover).drop("run", "votes", "n_grams")
+    d = d.groupBy("row", "template", "label", "base", "n_grams", "run").agg(F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"))
+    shown = F.size(F.array_distinct(F.transform("votes", lambda v: v["at"])))
+    return d.where(shown >= F.when(F.col("base"), F.col("n_grams")).otherwise(cover * F.col("n_grams"))).drop("run")
+
+
+def chain(votes: Column, n_grams: Column) -> Column:
+    """The most votes, in order of place, whose positions in the template rise; one a place."""
+    def step(acc: Column, v: Column) -> Column:
+        # best[i]: the longest chain that ends at gram i in earlier places; now: with this place
+        best = F.when(v["pos"] == acc["pos"], acc["best"]).otherwise(acc["now"])
+        longer = 1 + F.coalesce(F.array_max(F.slice(best, F.lit(1), v["at"])), F.lit(0))
+        now = F.transform(acc["now"], lambda x, i: F.when(i == v["at"], F.greatest(x, longer)).otherwise(x))
+        return F.struct(best.alias("best"), now.alias("now"), v["pos"].alias("pos"))
+
+    none = F.array_repeat(F.lit(0), n_grams)
+    start = F.struct(none.alias("best"), none.alias("now"), F.lit(-1).alias("pos"))
+    by_place = F.aggregate(votes, start, step, lambda acc: F.array_max(acc["now"]))
+    return F.coalesce(by_place, F.lit(0))
+
+
+def verified(rows: DataFrame, runs: DataFrame, cover: float) -> DataFrame:
+    """(row, template, label, base, first, end, covered) of runs whose words stand in the text, in order."""
+    of = cut(runs.groupBy("row").agg(F.collect_list(F.struct("template", "label", "base", "n_grams", "votes")).alias("runs")))
+    d = rows.join(small(of, SPAN_BYTES), "row").dropDuplicates(["row"]).withColumn("words", name_words(F.col("text")))
+    stands = lambda v: F.array_join(F.slice("words", v["pos"] + 1, GRAM), " ") == v["said"]
+    d = d.select("row", F.transform("runs", lambda r: r.withField("votes", F.filter(r["votes"], stands))).alias("runs"))
+    d = d.select("row", F.explode("runs").alias("r")).select("row", "r.*").where(F.size("votes") > 0)
+    d = d.withColumn("covered", chain(F.col("votes"), F.col("n_grams")) / F.col("n_grams"))
+    d = d.where(F.col("covered") >= F.when(F.col("base"), 1.0).otherwise(cover))
+    return d.select("row", "template", "label", "base", F.get("votes", F.lit(0))["pos"].alias("first"), (F.element_at("votes", -1)["pos"] + GRAM).alias("end"), "covered")
+
+
+def spans(docs: DataFrame, table: DataFrame, slack: int = SLACK, cover: float = COVER) -> tuple[DataFrame, DataFrame]:
+    """A row (row, doc_id, n_words) per row of docs, and verified() spans by row."""
+    grams = cut(template_grams(table))
+    known = cut(grams.select("gram").distinct())
+    rows = keyed(docs)
+    found = cut(places(rows, [GRAM], known, known.count()), known)
+    votes = found.where("gram is not null").select("row", "pos", "gram").join(small(grams, ROW_BYTES), "gram")
+    return found.where("first").select("row", "doc_id", "n_words"), verified(rows, merged(diagonals(votes), slack, cover), cover)
 
 
 def scan(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """One row per document: base places and labels, labels of notices, and a score."""
-    counted = cut(votes(docs, table))
-    place = F.col("base") & (F.col("votes") >= F.col("n_grams"))
-    base = counted.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum(F.when(place, F.floor(F.col("votes") / F.col("n_grams"))).otherwise(F.lit(0))).cast("long").alias("n_base"),
-        F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
-        F.collect_set(F.when(place, F.col("label"))).alias("base_set"),
+    """One row per row of docs: base places and labels, labels of notices, and a score."""
+    every, found = spans(docs, table)
+    on = lambda c: F.when(F.col("base"), F.col(c))
+    found = found.groupBy("row").agg(
+        F.count(on("first")).alias("n_base"),
+        F.min(on("first")).cast("long").alias("first_word"),
+        F.max(on("first")).cast("long").alias("last_word"),
+        F.array_sort(F.collect_set(on("label"))).alias("base_set"),
+        F.array_sort(F.collect_set("label")).alias("label_set"),
+        F.max("covered").alias("score"),
     )
-    more = spans(counted).groupBy("doc_id").agg(F.collect_set("label").alias("more_set"), F.max("covered").alias("covered"))
-    d = base.alias("b").join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")), "left")
-    both = F.array_union("base_set", F.coalesce("more_set", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    d = every.join(found, "row", "left")
     return d.select(
-        "b.doc_id",
+        "doc_id",
         "n_words",
-        "n_base",
+        F.coalesce("n_base", F.lit(0)).alias("n_base"),
         "first_word",
         "last_word",
-        F.array_join(F.array_sort("base_set"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(both), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("covered", F.lit(0.0))).alias("score"),
+        F.array_join(F.coalesce("base_set", none), ",").alias("base_labels"),
+        F.array_join(F.coalesce("label_set", none), ",").alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -47,8 +47,8 @@ BLOCK = 1000
 BLOCK_SHINGLES = 1_000_000
 #: Points of a node of the tree.
 FAN = 16
-#: Pairs that may be broadcast (16 bytes each).
-BROADCAST_PAIRS = 500_000
+#: Bytes of a broadcast row of two numbers, with what a hash table adds.
+PAIR_BYTES = 64
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +224,7 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """pairs (a, b) that the sum of smaller counts does not rule out."""
     p = points.select("id", "size", "counts")
     n = pairs.count()
-    d = p.withColumnRenamed("id", "a").join(small(pairs, n, BROADCAST_PAIRS), "a")
+    d = p.withColumnRenamed("id", "a").join(small(pairs, PAIR_BYTES, n), "a")
     d = d.select("a", "b", F.col("size").alias("size_a"), F.col("counts").alias("counts_a")).join(p.withColumnRenamed("id", "b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +243,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = cut(pairs.distinct())
     n = pairs.count()
     texts = docs.select("doc_id", "text")
-    d = texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a").join(small(pairs, n, BROADCAST_PAIRS), "a")
+    d = texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a").join(small(pairs, PAIR_BYTES, n), "a")
     partners = pairs.select(F.col("b").alias("doc_id")).distinct()
-    right = texts.join(small(partners, n, BROADCAST_PAIRS), "doc_id", "left_semi").withColumnRenamed("doc_id", "b")
+    right = texts.join(small(partners, PAIR_BYTES, n), "doc_id", "left_semi").withColumnRenamed("doc_id", "b")
     d = d.join(right, "b").select("a", "b", "text_a", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def counted_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     d = cut(classes.join(groups_.select("component", blocks.alias("blocks")), "component"))
     n = d.count()
     # an id that stands with several texts may have several classes: each row finds its own by its set
-    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(small(d.drop("size"), n, BROADCAST_PAIRS // 2), "class_id")
+    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(small(d.drop("size"), 2 * PAIR_BYTES, n), "class_id")
     texts = texts.withColumn("mine", F.pmod(F.xxhash64("set_high", "set_low"), F.col("blocks")).cast("int"))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)

@@ -33,8 +33,8 @@ from .langid import held_out
 FIT_ROWS = 20_000
 #: Texts in which a candidate word stands at least, and its least z-score.
 LEAST_TEXTS, LEAST_Z = 4, 4.0
-#: Labels that may be broadcast (16 bytes each).
-BROADCAST_LABELS = 1_000_000
+#: Bytes of a broadcast label, with what a hash table adds.
+LABEL_BYTES = 64
 #: Sentences end with these bytes.
 ENDS = np.ones(256, bool)
 for _c in b".!?\n":
@@ -58,7 +58,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of the rows that may be learned from."""
     y = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     y = cut(y)
-    return docs.select("doc_id", "text").join(small(y, y.count(), BROADCAST_LABELS), "doc_id")
+    return docs.select("doc_id", "text").join(small(y, LABEL_BYTES), "doc_id")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
