@@ -1,24 +1,32 @@
 """Duplicate passages by sparse suffix arrays.
 
-Of each text only the suffixes at minimiser positions stay: a position stays if its hash of
-SEED words is the least among SPAN neighbouring ones, which depends on the words alone.  So
-a passage that repeats keeps the same suffixes in every place, one in its first SPAN
-positions at least.  A suffix is keyed by the hashes of its next words in blocks; suffixes
-are sorted over all texts by these keys and compared with their neighbours.  Those that
-agree with a neighbour over the blocks are extended left and right, word by word, to the
-windows of `least` words around them, and a window stands if another place has it too.
-
-The result is exact: the words covered by any passage of `least` words or more that occurs
-at two places, in one text or in several.
-
-Sorting is by range of (key, document, position), so a passage that a third of all texts
-share is spread over many tasks; only the first and last suffix of a task are compared
-across tasks.
+Of each text only the suffixes at minimiser positions stay: the place of the least of the
+hashes of SEED words inside some window of `least` words, the leftmost of equals.  It
+depends on the window's words alone, so a passage that repeats keeps the same suffixes in
+every place, and every window of `least` words belongs to just one suffix, which stands in
+it.  Suffixes are sorted over all texts by their seed and compared with their neighbours.
+
+A suffix is extended left and right at once: its segment reaches over all windows that
+belong to it.  Neighbours with equal segments agree over the whole of it.  Where neighbours
+share the seed but not the segment, one suffix of each segment is extended window by
+window; these windows are sorted in turn and compared with their neighbours.  So a
+passage's inside costs one row for some twenty words, and only its edges a row a word.
+
+The result is exact: the words covered by any passage of `least` words or more that stands
+at two places, in one text or in several.  Segments and windows are equal if two hashes of
+64 bits are, that of the seed and that of the whole; n of them meet by chance with a
+probability of n * n / 2**129.
+
+Both sorts are by range of (hashes, row, place), so a passage that a third of all texts
+share is spread over many tasks.  A task looks at neighbours only and holds one row between
+batches; what its first and last row would need of other tasks is settled by a group over
+two rows of a task.
 
 Defined results: null and empty texts and texts of fewer words than `least` have no
-passage; copies of a text under another id are passages of each other; the id is the key,
-so a repeated row is the same place and no copy; rows whose id is null are left out; other
-columns are ignored; an empty table gives no rows.
+passage; copies of a text under another id are passages of each other; rows of the same id
+and text are one place and no copies of each other, and get a row each; a row without an id
+counts as any other and keeps a null id; other columns are ignored; an empty table gives no
+rows; a very long text is handled alone, with memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -27,19 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit
-from .common import cut, small
+from .common import cut, row_key, small
 
 #: Words of a passage at least.
 LEAST = 50
-#: Words of the gram whose hash selects positions, and positions among which it is the least.
-SEED, SPAN = 8, 11
-BLOCKS = 3
-#: Suffixes and windows whose texts or keys may be broadcast (some 16 bytes each).
-BROADCAST_SUFFIXES = 2_000_000
+#: Words of the gram whose hash selects positions.
+SEED = 8
+#: Bits of a position that stand in for the last bits of a seed's hash while the least is sought.
+PLACE = np.uint64((1 << 24) - 1)
 
 
 def powers_of(base: int, n: int) -> np.ndarray:
@@ -60,153 +67,182 @@ class Grams:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(word * powers_of(self.BASE, n)[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
+    def of(self, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return bytekit.mix((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
 
 
-def minimisers(word: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
-    """Positions that are the least (the first of equals) in some window of SPAN seeds of a row."""
-    seed = bytekit.grams(word, SEED)
-    n = len(seed) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best = np.lib.stride_tricks.sliding_window_view(seed, SPAN).argmin(1) + np.arange(n)
-    # windows that lie inside a row
-    owner = bytekit.row_of(rows)
-    inside = owner[:n] == owner[SPAN + SEED - 2 : SPAN + SEED - 2 + n]
-    return np.unique(best[inside])
-
-
-def block_length(least: int) -> int:
-    return (least - SPAN + 1) // BLOCKS
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of x[i : i + width] for each i, by windows of powers of two."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def anchors(seed: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least seed of the windows that begin at starts, the leftmost of equals."""
+    place = np.arange(len(seed), dtype=np.uint64) & PLACE
+    low = sliding_least((seed & ~PLACE) | place, width)[starts] & PLACE
+    return starts + ((low - starts.astype(np.uint64)) & PLACE).astype(np.int64)
+
+
+class Suffixes:
+    """Kept suffixes of a batch: place, first window and number of windows, seed and segment."""
+
+    def __init__(self, word: np.ndarray, rows: np.ndarray, least: int):
+        self.owner = bytekit.row_of(rows)
+        n = max(0, len(word) - least + 1)
+        starts = np.flatnonzero(self.owner[:n] == self.owner[least - 1 : least - 1 + n])
+        self.grams = Grams(word)
+        if not len(starts):
+            self.at = self.first = self.count = np.zeros(0, np.int64)
+            self.seed = self.segment = np.zeros(0, np.uint64)
+            return
+        seed = bytekit.grams(word, SEED)
+        at = anchors(seed, starts, least - SEED + 1)
+        new = np.ones(len(starts), bool)
+        new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
+        cuts = np.flatnonzero(new)
+        self.at, self.first, self.count = at[cuts], starts[cuts], np.diff(np.append(cuts, len(starts)))
+        self.seed = seed[self.at]
+        shape = ((self.at - self.first) * least + self.count).astype(np.uint64)
+        self.segment = bytekit.mix(self.grams.of(self.first, self.count + least - 1) + shape)
 
 
 def suffixes(docs: DataFrame, least: int) -> DataFrame:
-    """(key, rest, doc, at): kept suffixes that have the blocks' words before their text ends."""
-    size = block_length(least)
+    """docs (row, text) to kept suffixes: (seed, whole, row, at, first, n), first and at in words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytekit.slices(batches):
             word, rows = bytekit.words(batch.column("text"), bytekit.SPACE_WORD, lower=False)
-            at = minimisers(word, rows, least)
-            owner = bytekit.row_of(rows)
-            at = at[at + size * BLOCKS <= rows[1:][owner[at]]]
-            h = Grams(word)
-            key = [h.of(at + size * j, size) for j in range(BLOCKS)]
-            rest = np.zeros(len(at), np.uint64)
-            for k in key[1:]:
-                rest = bytekit.mix(rest * np.uint64(31) + k)
-            doc = owner[at]
-            ids = batch.column("doc_id").to_numpy()
-            yield pa.record_batch([pa.array(key[0].view(np.int64)) if len(at) else pa.array([], pa.int64()), pa.array(rest.view(np.int64)), pa.array(ids[doc]), pa.array((at - rows[:-1][doc]).astype(np.int32))], ["key", "rest", "doc", "at"])
+            s = Suffixes(word, rows, least)
+            owner = s.owner[s.at]
+            base = rows[:-1][owner]
+            ids = batch.column("row").to_numpy()[owner]
+            yield pa.record_batch(
+                [pa.array(s.seed.view(np.int64)), pa.array(s.segment.view(np.int64)), pa.array(ids), pa.array((s.at - base).astype(np.int32)), pa.array((s.first - base).astype(np.int32)), pa.array(s.count.astype(np.int32))],
+                ["seed", "whole", "row", "at", "first", "n"],
+            )
+
+    return docs.mapInArrow(run, "seed long, whole long, row long, at int, first int, n int")
+
+
+ORDER = ("seed", "whole", "row", "at")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, rest long, doc long, at int")
 
+def in_order(table: DataFrame) -> DataFrame:
+    return table.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
 
-def neighbours(sorted_by_key: DataFrame) -> DataFrame:
-    """Suffixes that equal a neighbour in the order: (key, rest, doc, at, edge).
 
-    edge marks the first and last runs of a task, whose neighbour may be in another one.
+def neighbours(table: DataFrame, speak: bool) -> DataFrame:
+    """Rows of a table in ORDER that agree with a neighbour, and those that must be looked at again.
+
+    sure: another place has the same seed and whole.  open: it is a task's first or last
+    row, or, with speak, the row stands for its whole among others of the same seed.
     """
+    kept = [f.name for f in table.schema]
+
+    def judged(t: pa.Table, before: tuple | None, spoken: bool, last: bool) -> tuple[pa.Table, bool]:
+        """All rows of t but the final one, which has no next row unless it is the task's last."""
+        seed, whole, row, at = (t.column(c).to_numpy() for c in ORDER)
+        n = len(seed)
+        same_seed, same = np.zeros(n, bool), np.zeros(n, bool)
+        same_seed[1:] = seed[1:] == seed[:-1]
+        same[1:] = same_seed[1:] & (whole[1:] == whole[:-1])
+        if before is not None:
+            same_seed[0] = seed[0] == before[0]
+            same[0] = same_seed[0] and whole[0] == before[1]
+        after_seed, after = np.append(same_seed[1:], False), np.append(same[1:], False)
+        # each whole speaks by its first row, or by its last where only that meets another whole
+        head = ~same & same_seed & speak
+        run = np.cumsum(~same)
+        heads = np.bincount(run, head, minlength=int(run[-1]) + 1) > 0
+        heads[0] |= spoken
+        tail = ~after & after_seed & ~heads[run] & speak
+        edge = np.zeros(n, bool)
+        edge[0] = before is None
+        edge[-1] = last
+        sure = same | after
+        out = t.append_column("sure", pa.array(sure)).append_column("open", pa.array(head | tail | edge))
+        end = n if last else n - 1
+        return out.slice(0, end).filter(pa.array((sure | head | tail | edge)[:end])), bool(heads[run[-1]])
+
+    def distinct(t: pa.Table) -> pa.Table:
+        """Without rows that are the same place as the one before."""
+        cols = [t.column(c).to_numpy() for c in ORDER]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        return t.filter(pa.array(new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last run so far
-        first = True
-
-        def pick(t: pa.Table, last: bool) -> pa.Table:
-            nonlocal first
-            key, rest = t.column("key").to_numpy(), t.column("rest").to_numpy()
-            same = (key[1:] == key[:-1]) & (rest[1:] == rest[:-1])
-            twin = np.zeros(len(key), bool)
-            twin[1:] |= same
-            twin[:-1] |= same
-            runs = np.concatenate([[0], np.cumsum(~same)])
-            edge = np.zeros(len(key), bool)
-            if first:
-                edge |= runs == 0
-                first = False
-            if last:
-                edge |= runs == runs[-1]
-            return t.append_column("edge", pa.array(edge)).filter(pa.array(twin | edge))
-
+        held, before, spoken = None, None, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([b for b in (held, batch) if b is not None])
-            key, rest = t.column("key").to_numpy(), t.column("rest").to_numpy()
-            change = np.flatnonzero((key[1:] != key[:-1]) | (rest[1:] != rest[:-1]))
-            if not len(change):
-                # one run: its end is not in sight; all but one of its suffixes can go on
-                out = pick(t, True)
-                yield from out.slice(0, out.num_rows - 1).to_batches()
+            t = distinct(pa.Table.from_batches([*([held] if held is not None else []), batch]))
+            if t.num_rows > 1:
+                out, spoken = judged(t, before, spoken, False)
+                yield from out.combine_chunks().to_batches()
+                before = tuple(t.column(c)[t.num_rows - 2].as_py() for c in ORDER)
+            if t.num_rows:
                 held = t.slice(t.num_rows - 1).combine_chunks().to_batches()[0]
-                first = True
-                continue
-            done = int(change[-1]) + 1
-            yield from pick(t.slice(0, done), False).to_batches()
-            held = t.slice(done).combine_chunks().to_batches()[0]
         if held is not None:
-            yield from pick(pa.Table.from_batches([held]), True).to_batches()
-
-    return sorted_by_key.mapInArrow(run, "key long, rest long, doc long, at int, edge boolean")
+            yield from judged(pa.Table.from_batches([held]), before, spoken, True)[0].combine_chunks().to_batches()
 
-
-def repeated_suffixes(docs: DataFrame, least: int) -> DataFrame:
-    """(doc, at) of suffixes whose blocks occur at another place."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "rest", "doc", "at"]
-    d = suffixes(docs, least).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    d = cut(neighbours(d))
-    sure = d.where("not edge").select("doc", "at")
-    edges = d.where("edge")
-    place = F.struct("doc", "at")
-    twice = edges.groupBy("key", "rest").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key", "rest")
-    return sure.unionByName(edges.join(twice, ["key", "rest"], "left_semi").select("doc", "at"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return table.select(*kept).mapInArrow(run, f"{schema}, sure boolean, open boolean")
 
 
 def windows(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(doc, at, high, low, n_words): windows of `least` words that hold a found suffix's blocks."""
-    size = block_length(least) * BLOCKS
-    found = cut(found)
-    places = cut(found.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("ats"))).withColumnRenamed("doc", "doc_id")
-    d = docs.select("doc_id", "text").join(small(places, found.count(), BROADCAST_SUFFIXES), "doc_id")
+    """docs (row, text) and suffixes (row, seed, first, n, sure) to their windows: (seed, whole, row, at, known)."""
+    places = found.groupBy("row").agg(F.collect_list(F.struct("seed", "first", "n", "sure")).alias("places"))
+    places = cut(places)
+    # a text's places are some 30 bytes each, and few
+    d = docs.join(small(places, 500), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytekit.slices(batches):
             word, rows = bytekit.words(batch.column("text"), bytekit.SPACE_WORD, lower=False)
-            ats = batch.column("ats")
-            count = np.diff(ats.offsets.to_numpy())
-            doc = np.repeat(np.arange(batch.num_rows), count)
-            at = ats.flatten().to_numpy().astype(np.int64) + rows[:-1][doc]
-            # starts of windows that reach from the left of the blocks to their right end at least
-            lo = np.maximum(at + size - least, rows[:-1][doc])
-            hi = np.minimum(at, rows[1:][doc] - least)
-            start = np.unique(bytekit.ranges(lo, np.maximum(hi - lo + 1, 0)))
+            column = batch.column("places")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            seed, first, n, sure = (column.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            start = bytekit.ranges(first.astype(np.int64) + rows[:-1][owner], n.astype(np.int64))
+            of = np.repeat(np.arange(len(n)), n)
             h = Grams(word).of(start, least)
-            owner = bytekit.row_of(rows)[start]
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(batch.column("doc_id").to_numpy()[owner]), pa.array((start - rows[:-1][owner]).astype(np.int32))], ["window", "doc", "at"])
+            yield pa.record_batch(
+                [pa.array(seed[of]), pa.array(h.view(np.int64)), pa.array(batch.column("row").to_numpy()[owner[of]]), pa.array((start - rows[:-1][owner[of]]).astype(np.int32)), pa.array(sure[of])],
+                ["seed", "whole", "row", "at", "known"],
+            )
+
+    return d.select("row", "text", "places").mapInArrow(run, "seed long, whole long, row long, at int, known boolean")
+
 
-    return d.select("doc_id", "text", "ats").mapInArrow(run, "window long, doc long, at int")
+def repeated(docs: DataFrame, least: int) -> DataFrame:
+    """docs (row, text) to (row, start, end): parts in words, overlapping ones too, that stand at another place."""
+    kept = cut(suffixes(docs, least))
+    found = cut(neighbours(in_order(kept), True), kept)
+    sure = found.where("sure").select("row", F.col("first").alias("start"), (F.col("first") + F.col("n") + (least - 1)).alias("end"))
+    again = cut(windows(docs, found.where("open").select("row", "seed", "first", "n", "sure"), least))
+    hit = cut(neighbours(in_order(again), False), again)
+    # a window that had no neighbour in its task may have one in the next: two rows of a task at most
+    lone = hit.where("open and not sure").alias("a")
+    other = hit.where("open").groupBy("seed", "whole").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("at").alias("a0"), F.max("at").alias("a1"))
+    met = lone.join(other.where("r0 <> r1 or a0 <> a1"), ["seed", "whole"], "left_semi")
+    part = hit.where("sure and not known").select("row", "at").unionByName(met.where("not known").select("row", "at"))
+    return sure.unionByName(part.select("row", F.col("at").alias("start"), (F.col("at") + least).alias("end")))
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per text with a repeated passage: doc_id, n_dup_words, longest, spans (start, end in words)."""
-    if block_length(least) < SEED:
-        raise ValueError(f"passages need {SEED * BLOCKS + SPAN - 1} words at least")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    d = cut(windows(docs, repeated_suffixes(docs, least), least))
-    place = F.struct("doc", "at")
-    twice = d.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("window")
-    hit = d.join(twice, "window", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    # windows whose starts are next to each other, or overlap, are one span
-    spans = F.aggregate(
-        "at",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x <= F.element_at(acc, -1)["end"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (x + least).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("start"), (x + least).alias("end"))))),
-    )
-    out = hit.select(F.col("doc").alias("doc_id"), spans.alias("spans"))
-    length = F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long"))
-    return out.select("doc_id", F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_dup_words"), F.array_max(length).alias("longest"), "spans")
+    """One row per row of docs with a repeated passage: doc_id, n_dup_words, longest, spans (start, end in words)."""
+    if least < 2 * SEED:
+        raise ValueError(f"passages need {2 * SEED} words at least")
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = repeated(keyed.select("row", "text"), least)
+    # parts that overlap or touch are one span
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    parts = parts.withColumn("no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parts.groupBy("row", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    length = (F.col("end") - F.col("start")).cast("long")
+    of = cut(spans.groupBy("row").agg(F.sum(length).alias("n_dup_words"), F.max(length).alias("longest"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    return keyed.select("row", "doc_id").join(of, "row").select("doc_id", "n_dup_words", "longest", "spans")
