@@ -40,7 +40,7 @@ def test_labelled_references_and_bad_values_are_left_alone(spark):
 
 
 def test_the_flag_lets_references_through(spark):
-    assert entities(spark, "Invoice No. 123-45-6789", config=Config(enabled_types=("SSN",), redact_reference_numbers=True)) == [(0, "SSN", "123-45-6789")]
+    assert entities(spark, "Invoice No. 123-45-6789", config=Config(enabled_types=("SSN",), let_reference_numbers_through=True)) == [(0, "SSN", "123-45-6789")]
 
 
 def test_disabled_types_have_no_spans_and_unknown_types_fail(spark):
@@ -58,12 +58,12 @@ def test_a_rule_registers_once():
 def test_rewriting_is_consistent_and_leaves_no_value(spark):
     docs = spark.createDataFrame([(1, "jane.roe@example.org wrote; jane.roe@example.org paid 4111 1111 1111 1111"), (2, None), (3, "nothing here")], "doc_id long, text string")
     engine = Engine(CONFIG)
-    d = engine.redact(docs)
-    rows = {r["doc_id"]: r for r in d.select("doc_id", "redacted", "assigned").collect()}
+    d = engine.rewrite(docs)
+    rows = {r["doc_id"]: r for r in d.select("doc_id", "rewritten", "assigned").collect()}
     fakes = [e["replacement"] for e in rows[1]["assigned"] if e["pii_type"] == "EMAIL"]
     assert len(fakes) == 2 and len(set(fakes)) == 1
-    assert "jane.roe" not in rows[1]["redacted"] and "4111 1111" not in rows[1]["redacted"]
-    assert rows[2]["redacted"] is None and rows[3]["redacted"] == "nothing here"
+    assert "jane.roe" not in rows[1]["rewritten"] and "4111 1111" not in rows[1]["rewritten"]
+    assert rows[2]["rewritten"] is None and rows[3]["rewritten"] == "nothing here"
     engine.verify(d)
 
 
@@ -76,7 +76,7 @@ def test_blocks_and_offsets(spark):
 
 
 def test_churn_counts_changed_lines(spark):
-    pairs = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, "a", "a\nb")], "doc_id long, text string, redacted string")
+    pairs = spark.createDataFrame([(1, "a\nb", "a\nc"), (2, "a", "a\nb")], "doc_id long, text string, rewritten string")
     assert [tuple(r) for r in audit.churn(pairs).orderBy("doc_id").collect()] == [(1, 2, 1), (2, 1, None)]
 
 

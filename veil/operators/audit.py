@@ -1,6 +1,6 @@
 """Before and after: what survived, what changed too much, and how good the fakes are.
 
-Pairs are rows of (doc_id, text, redacted), with package text where there is one.
+Pairs are rows of (doc_id, text, rewritten), with package text where there is one.
 """
 
 from __future__ import annotations
@@ -73,9 +73,9 @@ def rule_found(docs: DataFrame, config: Config, key: str = "doc_id") -> DataFram
 
 def survived(values: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """values with visible and buried: whether the output, or only its package, still has them."""
-    cols = [key, "redacted"] + (["package"] if "package" in pairs.columns else [])
+    cols = [key, "rewritten"] + (["package"] if "package" in pairs.columns else [])
     d = values.join(pairs.select(*cols), key)
-    visible = F.contains("redacted", F.col("value"))
+    visible = F.contains("rewritten", F.col("value"))
     buried = F.contains("package", F.col("value")) if "package" in pairs.columns else F.lit(False)
     out = d.withColumn("visible", F.coalesce(visible, F.lit(False))).withColumn("buried", ~F.col("visible") & F.coalesce(buried, F.lit(False)))
     return out.drop(*cols[1:])
@@ -98,24 +98,24 @@ def capital_words(docs: DataFrame, text: str) -> DataFrame:
     return d.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def over_redaction(pairs: DataFrame, at_least: int = COMMON_AT_LEAST, keep: float = KEEP_RATIO) -> DataFrame:
+def over_rewriting(pairs: DataFrame, at_least: int = COMMON_AT_LEAST, keep: float = KEEP_RATIO) -> DataFrame:
     """(word, in_source, in_output): common capitalised words of which too few are left."""
     before = capital_words(pairs, "text").where(F.col("n") >= at_least).withColumnRenamed("n", "in_source")
-    d = before.join(capital_words(pairs, "redacted").withColumnRenamed("n", "in_output"), "word", "left")
+    d = before.join(capital_words(pairs, "rewritten").withColumnRenamed("n", "in_output"), "word", "left")
     d = d.withColumn("in_output", F.coalesce("in_output", F.lit(0)))
     return d.where(F.col("in_output") <= F.col("in_source") * keep)
 
 
 def churn(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, blocks, changed): lines that differ, where both texts have as many; else changed is null."""
-    a, b = F.split(F.coalesce("text", F.lit("")), "\n", -1), F.split(F.coalesce("redacted", F.lit("")), "\n", -1)
+    a, b = F.split(F.coalesce("text", F.lit("")), "\n", -1), F.split(F.coalesce("rewritten", F.lit("")), "\n", -1)
     differ = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] != x["b"]))
     return pairs.select(key, F.size(a).alias("blocks"), F.when(F.size(a) == F.size(b), differ).alias("changed"))
 
 
 def surrogate_quality(pairs: DataFrame) -> DataFrame:
     """Distinct card numbers and SSNs of the output, and those that are not well formed."""
-    values = probe_values(pairs.select("doc_id", F.col("redacted").alias("text"))).where("probe in ('card', 'ssn')")
+    values = probe_values(pairs.select("doc_id", F.col("rewritten").alias("text"))).where("probe in ('card', 'ssn')")
     d = values.select("probe", F.when(F.col("probe") == "card", digits_of(F.col("value"))).otherwise(F.col("value")).alias("v")).distinct().where("probe = 'ssn' or length(v) between 13 and 19")
     card = F.col("probe") == "card"
     return d.agg(

@@ -27,7 +27,7 @@ def masked(text: Column, assigned: Column) -> Column:
     return F.aggregate(ranked, text, lambda acc, x: F.when(F.length(x["r"]) > 0, F.replace(acc, x["r"], F.lpad(F.lit(""), F.length(x["r"]), F.lit("\0")))).otherwise(acc))
 
 
-def leaks(docs: DataFrame, text: str = "text", rendered: str = "redacted", assigned: str = "assigned", key: str = "doc_id", check_spans: bool = True) -> DataFrame:
+def leaks(docs: DataFrame, text: str = "text", rendered: str = "rewritten", assigned: str = "assigned", key: str = "doc_id", check_spans: bool = True) -> DataFrame:
     """(key, pii_type, kind): spans that do not stand or change, and values that survive in rendered."""
     a = F.col(assigned)
     d = docs.withColumn("_out", masked(F.col(rendered), a))
@@ -45,7 +45,7 @@ def leaks(docs: DataFrame, text: str = "text", rendered: str = "redacted", assig
 
 def package_leaks(assigned: DataFrame, parts: DataFrame, key: str = "doc_id", column: str = "assigned") -> DataFrame:
     """(key, pii_type): values that survive in any serialised part (key, text) of the document's package."""
-    corpus = parts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("redacted"))
+    corpus = parts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("rewritten"))
     d = assigned.select(key, column).join(corpus, key)
     return leaks(d, assigned=column, key=key, check_spans=False).select(key, "pii_type")
 
@@ -57,7 +57,7 @@ def rule_values(docs: DataFrame, config: Config, key: str = "doc_id", text: str
     return d.groupBy(key, F.col("e.text").alias("value")).agg(F.min_by("e.pii_type", F.struct(-F.col("e.priority"), F.col("e.source"))).alias("pii_type"))
 
 
-def rule_recall(docs: DataFrame, config: Config, key: str = "doc_id", before: str = "text", after: str = "redacted") -> DataFrame:
+def rule_recall(docs: DataFrame, config: Config, key: str = "doc_id", before: str = "text", after: str = "rewritten") -> DataFrame:
     """Values that rules find before and still find after (left semi join on document and value)."""
     return rule_values(docs, config, key, before).join(rule_values(docs, config, key, after).select(key, "value"), [key, "value"], "left_semi")
 

@@ -1,4 +1,4 @@
-"""Registered queries of the redaction engine, and DuckDB SQL for those that SQL can say.
+"""Registered queries of the rewriting engine, and DuckDB SQL for those that SQL can say.
 
 Kinds of personal data that the tables lack are written from integer keys on both sides, so
 that SQL computes the expected verdict from the key and not by a second regular expression.
@@ -263,32 +263,32 @@ def offset_to_block(spark, sf_dir):
 
 
 @query()
-def redact_documents(spark, sf_dir):
-    d = Engine(CONFIG).redact(documents(spark, sf_dir))
-    return d.select("doc_id", "redacted", F.size("assigned").alias("n_replaced"))
+def rewrite_documents(spark, sf_dir):
+    d = Engine(CONFIG).rewrite(documents(spark, sf_dir))
+    return d.select("doc_id", "rewritten", F.size("assigned").alias("n_replaced"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS leaks")
-def redaction_leaks(spark, sf_dir):
+def rewriting_leaks(spark, sf_dir):
     # no filter on assigned here: pushed below the projections it would repeat the whole pipeline
-    return verify.leaks(Engine(CONFIG).redact(documents(spark, sf_dir))).agg(F.count(F.lit(1)).alias("leaks"))
+    return verify.leaks(Engine(CONFIG).rewrite(documents(spark, sf_dir))).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 @query("""
     SELECT doc_id, count(*) AS lines, CAST(0 AS BIGINT) AS moved FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id""")
 def churn(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return audit.churn(d.withColumn("redacted", F.col("text"))).select("doc_id", F.col("blocks").cast("long").alias("lines"), F.col("changed").cast("long").alias("moved"))
+    return audit.churn(d.withColumn("rewritten", F.col("text"))).select("doc_id", F.col("blocks").cast("long").alias("lines"), F.col("changed").cast("long").alias("moved"))
 
 
 @query()
 def audit_scores(spark, sf_dir):
-    return audit.category_score(Engine(CONFIG).redact(documents(spark, sf_dir)).select("doc_id", "text", "redacted"), CONFIG)
+    return audit.category_score(Engine(CONFIG).rewrite(documents(spark, sf_dir)).select("doc_id", "text", "rewritten"), CONFIG)
 
 
 @query()
-def over_redaction(spark, sf_dir):
-    return audit.over_redaction(Engine(CONFIG).redact(documents(spark, sf_dir)).select("doc_id", "text", "redacted"))
+def over_rewriting(spark, sf_dir):
+    return audit.over_rewriting(Engine(CONFIG).rewrite(documents(spark, sf_dir)).select("doc_id", "text", "rewritten"))
 
 
 @query("""

@@ -25,8 +25,8 @@ class Engine:
             d = d.withColumn("entities", F.array_sort(F.concat("entities", F.coalesce("_more", none)))).drop("_k", "_more")
         return d.withColumn("entities", spans.resolve(F.col("entities")))
 
-    def redact(self, docs: DataFrame, candidates: DataFrame | None = None, key: str = "doc_id", by_line: bool = False) -> DataFrame:
-        """docs with assigned entities, mapping, counts_by_type and redacted.
+    def rewrite(self, docs: DataFrame, candidates: DataFrame | None = None, key: str = "doc_id", by_line: bool = False) -> DataFrame:
+        """docs with assigned entities, mapping, counts_by_type and rewritten.
 
         by_line drops entities across lines and keeps repeats inside them, as documents of
         paragraphs need.
@@ -45,9 +45,9 @@ class Engine:
         kinds = F.array_sort(F.array_distinct(F.transform("assigned", lambda e: e["pii_type"])))
         counts = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.size(F.filter("assigned", lambda e: e["pii_type"] == k)))))
         d = d.withColumn("counts_by_type", counts)
-        return d.withColumn("redacted", F.when(F.col("text").isNotNull(), spans.apply(text, F.col("assigned"))))
+        return d.withColumn("rewritten", F.when(F.col("text").isNotNull(), spans.apply(text, F.col("assigned"))))
 
-    def verify(self, redacted: DataFrame, key: str = "doc_id") -> None:
+    def verify(self, rewritten: DataFrame, key: str = "doc_id") -> None:
         """Raise LeakDetected if a real value survived; nothing if the check is off."""
         if self.config.verify_output:
-            verify.assert_clean(redacted, self.config, key)
+            verify.assert_clean(rewritten, self.config, key)
