@@ -9,7 +9,7 @@ from .lexicon import BIRTH_CUES, NEGATIVE_CONTEXT, PERSON_CUES
 from .text import cut_out, digits_of, left_of, strings
 
 WINDOW = 40
-#: What may stand between a label and its number.
+# What may stand between a label and its number.
 GAP = r"[\s:#\-./]*(?:no\.?|nos\.?|number|num\.?|#)*[\s:#\-./]*"
 #: A run of more than 15 digits is seen in this many characters of either side.
 RUN = 40

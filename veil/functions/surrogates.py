@@ -20,6 +20,11 @@ STREETS = ["Harbour", "Meadow", "Willow", "Station", "Temple", "Orchard", "Canal
 TOWNS = ["Easthaven", "Marlow", "Bramford", "Kelvindale", "Sunderpur", "Rosewick", "Ashgate", "Tarnby", "Ludford", "Norwell"]
 
 
+#: Parts of made-up words.
+ONSETS = ["b", "br", "c", "d", "f", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "r", "s", "st", "t", "v", "w"]
+RIMES = ["a", "ando", "ara", "e", "ell", "en", "i", "ima", "in", "o", "olt", "or", "u", "una", "urn", "y"]
+
+
 def digest(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
@@ -38,6 +43,20 @@ def pick(h: Column, at: int, values: list[str]) -> Column:
     return F.element_at(strings(values), (number(h, at, len(values)) + 1).cast("int"))
 
 
+def made_word(h: Column, at: int) -> Column:
+    """A word of three syllables from twelve hexadecimal digits: 32 million of them."""
+    parts = [pick(h, at + 4 * i, values) for i, values in enumerate((ONSETS, RIMES, ONSETS, RIMES, ONSETS, RIMES))]
+    return F.initcap(F.concat(*parts))
+
+
+def repaired(value: Column, forbidden: Column, h: Column) -> Column:
+    """value with each token of four letters or more that is forbidden replaced by a made-up word."""
+    pieces = F.split(value, r"(?U)(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})")
+    word = made_word(h, 29)
+    cased = lambda x: F.when(F.upper(x) == x, F.upper(word)).when(F.lower(x) == x, F.lower(word)).otherwise(word)
+    return F.array_join(F.transform(pieces, lambda x: F.when((F.length(x) >= 4) & F.array_contains(forbidden, F.lower(x)), cased(x)).otherwise(x)), "")
+
+
 def reshape(template: Column, new: Column) -> Column:
     """new poured into the digit places of template; what is left of template ends where new does."""
     walked = F.aggregate(
@@ -114,14 +133,18 @@ def split_host(value: Column) -> Column:
     return let(cuts, lambda c: F.struct(F.regexp_extract(value, prefix, 1).alias("prefix"), core(c).alias("core"), suffix(c).alias("suffix")))
 
 
-def fake_name(original: Column, h: Column) -> Column:
-    core = F.concat_ws(" ", pick(h, 1, FIRST), pick(h, 9, LAST))
+#: Attempts that draw from the lists alone; later ones make words, so that names have no end.
+LISTED = 3
+
+
+def fake_name(original: Column, h: Column, n: Column) -> Column:
+    core = F.concat_ws(" ", pick(h, 1, FIRST), F.when(n < LISTED, pick(h, 9, LAST)).otherwise(made_word(h, 17)))
     title = honorific(original)
     return F.when(title != "", F.concat_ws(" ", title, core)).otherwise(core)
 
 
-def fake_company(original: Column, h: Column) -> Column:
-    core = F.concat_ws(" ", pick(h, 1, FIRMS), pick(h, 9, TRADES))
+def fake_company(original: Column, h: Column, n: Column) -> Column:
+    core = F.concat_ws(" ", F.when(n < LISTED, pick(h, 1, FIRMS)).otherwise(made_word(h, 17)), pick(h, 9, TRADES))
     suffix = company_suffix(original)
     return F.when(suffix == "", core).otherwise(F.concat(core, F.lit(" "), F.ltrim(suffix)))
 
@@ -130,7 +153,7 @@ def not_all_zero(d: Column) -> Column:
     return F.when(d.rlike("^0+$"), F.concat(F.substring(d, F.lit(1), F.length(d) - 1), F.lit("1"))).otherwise(d)
 
 
-def fake_phone(original: Column, h: Column) -> Column:
+def fake_phone(original: Column, h: Column, n: Column | None = None) -> Column:
     d = digits_of(original)
     head = F.ltrim(original)
     keep = F.when(F.startswith(head, F.lit("+91")), 2).when(head.rlike(r"^\+1(?!\d*91)"), 1).otherwise(0)
@@ -138,7 +161,7 @@ def fake_phone(original: Column, h: Column) -> Column:
     return reshape(original, F.concat(F.substring(d, F.lit(1), keep), not_all_zero(rest)))
 
 
-def fake_address(original: Column, h: Column) -> Column:
+def fake_address(original: Column, h: Column, n: Column | None = None) -> Column:
     pin = F.regexp_extract(original, r"(\d{5,6})\s*$", 1)
     line = F.concat_ws(" ", (number(h, 1, 998) + 1).cast("string"), pick(h, 9, STREETS), F.lit("Road,"), pick(h, 17, TOWNS))
     more = F.transform(F.slice(F.split(original, "\n"), 2, 100), lambda x: F.concat_ws(" ", F.lit("Block"), pick(h, 25, STREETS)))
@@ -147,7 +170,7 @@ def fake_address(original: Column, h: Column) -> Column:
     return F.when(pin != "", F.concat_ws(" ", body, new)).otherwise(body)
 
 
-def fake_ssn(original: Column, h: Column) -> Column:
+def fake_ssn(original: Column, h: Column, n: Column | None = None) -> Column:
     area = number(h, 1, 899) + 1
     area = F.when(area == 666, 665).otherwise(area)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
@@ -165,13 +188,13 @@ def card_prefix(d: Column) -> Column:
     return F.substring(d, F.lit(1), n)
 
 
-def fake_card(original: Column, h: Column) -> Column:
+def fake_card(original: Column, h: Column, n: Column | None = None) -> Column:
     d = digits_of(original)
     body = F.substring(F.concat(card_prefix(d), digits(h)), F.lit(1), F.length(d) - 1)
     return reshape(original, F.concat(body, luhn_digit(body)))
 
 
-def fake_dob(original: Column, h: Column) -> Column:
+def fake_dob(original: Column, h: Column, n: Column | None = None) -> Column:
     """A day from 1945-01-01 to 2005-12-31 in the layout of the original; others become ISO."""
     day = F.date_add(F.to_date(F.lit("1945-01-01")), number(h, 1, 22280).cast("int"))
     v = F.trim(original)
@@ -188,7 +211,7 @@ def fake_dob(original: Column, h: Column) -> Column:
     )
 
 
-def fake_ip(original: Column, h: Column) -> Column:
+def fake_ip(original: Column, h: Column, n: Column | None = None) -> Column:
     octet = lambda at, low, n: (number(h, at, n) + low).cast("string")
     six = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(h, (i * 4 + 1).cast("int"), F.lit(4))), ":")
     private = F.concat_ws(".", F.lit("10"), octet(1, 0, 256), octet(9, 0, 256), octet(17, 1, 254))
@@ -196,12 +219,12 @@ def fake_ip(original: Column, h: Column) -> Column:
     return F.when(F.contains(original, F.lit(":")), six).when(F.regexp_extract(original, r"^(\d+)\.", 1).isin("10", "172", "192"), private).otherwise(public)
 
 
-def fake_label(h: Column) -> Column:
-    return F.lower(F.concat(pick(h, 1, FIRMS), pick(h, 9, TRADES), F.substring(digits(h), 30, 2)))
+def fake_label(h: Column, n: Column) -> Column:
+    return F.lower(F.concat(F.when(n < LISTED, pick(h, 1, FIRMS)).otherwise(made_word(h, 33)), pick(h, 9, TRADES), F.substring(digits(h), 30, 2)))
 
 
-def fake_user(h: Column) -> Column:
-    return F.lower(F.concat(pick(h, 1, FIRST), F.lit("."), pick(h, 9, LAST), F.substring(digits(h), 30, 2)))
+def fake_user(h: Column, n: Column) -> Column:
+    return F.lower(F.concat(pick(h, 1, FIRST), F.lit("."), F.when(n < LISTED, pick(h, 9, LAST)).otherwise(made_word(h, 33)), F.substring(digits(h), 30, 2)))
 
 
 #: Generators by type, but for the two that go by the mapping of domain labels.

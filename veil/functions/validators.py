@@ -16,6 +16,7 @@ def luhn_valid(value: Column) -> Column:
 
 def card_scheme_match(digits: Column) -> Column:
     """Prefix and length of a card scheme; the first prefix that fits decides."""
+    # Prefixes and lengths.
     n = F.length(digits)
     two, three = F.substring(digits, 1, 2), F.substring(digits, 1, 3)
     four = F.when(n >= 4, F.substring(digits, 1, 4).try_cast("int"))
@@ -33,6 +34,7 @@ def card_scheme_match(digits: Column) -> Column:
 
 
 def card_brand(value: Column) -> Column:
+    # Prefixes and lengths.
     d = digits_of(value)
     two = F.substring(d, 1, 2)
     return (

@@ -155,7 +155,7 @@ def candidate_pieces(docs: DataFrame, raw: DataFrame, config: Config, key: str =
 def judged(docs: DataFrame, raw: DataFrame, config: Config, key: str = "doc_id") -> DataFrame:
     """Pieces with the reason of their rejection, or null where they stand."""
     text, start, end = F.col("text"), F.col("start"), F.col("end")
-    d = candidate_pieces(docs, raw, config, key).withColumn("id", F.monotonically_increasing_id())
+    d = candidate_pieces(docs, raw, config, key)
     lines = lines_of(docs, key).select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), "heading", "contact")
     d = d.join(lines, (F.col(key) == F.col("_k")) & (start >= F.col("_s")) & (start <= F.col("_e")), "left").drop("_k", "_s", "_e")
     names = gazetteer(docs, key).withColumn("known", F.lit(True)).withColumnRenamed("name", "_low")
@@ -163,9 +163,10 @@ def judged(docs: DataFrame, raw: DataFrame, config: Config, key: str = "doc_id")
     firms = company_tokens(docs, key).withColumn("firm", F.lit(True)).withColumnRenamed("token", "_bare")
     d = d.withColumn("_bare", F.regexp_replace(F.lower(text), r"(?U)[^\w]", "")).join(firms, [key, "_bare"], "left")
     # anti join by counting: a piece whose tokens are all common has no token left
-    tokens = d.select("id", key, F.explode(F.array_distinct(F.transform(letter_tokens(text), F.lower))).alias("token"))
-    rare = tokens.join(lower_vocabulary(docs, key=key), [key, "token"], "left_anti").select("id").distinct().withColumn("rare", F.lit(True))
-    d = d.join(rare, "id", "left")
+    place = [key, "pii_type", "start", "end"]
+    tokens = d.select(*place, F.explode(F.array_distinct(F.transform(letter_tokens(text), F.lower))).alias("token"))
+    rare = tokens.join(lower_vocabulary(docs, key=key), [key, "token"], "left_anti").select(*place).distinct().withColumn("rare", F.lit(True))
+    d = d.join(rare, place, "left")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     kind = F.col("pii_type")
     lone = F.size(F.split(text, r"(?U)\s+")) <= 1

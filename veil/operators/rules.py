@@ -29,6 +29,7 @@ class Config:
     verify_output: bool = True
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "enabled_types", tuple(self.enabled_types))
         if unknown := set(self.enabled_types) - set(PII_TYPES):
             raise ValueError(f"unknown types: {sorted(unknown)}")
 
@@ -101,7 +102,7 @@ def check_contact(text: Column, span: Column, config: Config) -> Column:
 
 def check_domain(text: Column, span: Column, config: Config) -> Column:
     labels = F.split(F.regexp_replace(span["text"], "^https?://", ""), r"\.")
-    last = F.trim(F.element_at(labels, -1))
+    last = F.regexp_replace(F.element_at(labels, -1), r"(?U)^\s+|\s+$", "")
     return (F.size(labels) >= 2) & last.rlike(r"(?U)^\p{L}{2,}$") & (cut_out(text, span["start"] - 1, span["start"]) != "@")
 
 
@@ -192,6 +193,17 @@ def rule_spans(text: Column, rule: Rule, config: Config) -> Column:
     return F.when(text.rlike(rule.hint), out).otherwise(none) if rule.hint else F.coalesce(out, none)
 
 
+_built: dict[tuple, dict[str, Column]] = {}
+
+
+def built(docs: DataFrame, rules: tuple[Rule, ...], config: Config) -> dict[str, Column]:
+    """The rules' expressions over _text, made once a session and configuration."""
+    key = (docs.sparkSession.sparkContext.applicationId, tuple((r.pii_type, r.name, r.pattern) for r in rules), config)
+    if key not in _built:
+        _built[key] = {f"_{r.name}": rule_spans(F.col("_text"), r, config) for r in rules}
+    return _built[key]
+
+
 def detect(docs: DataFrame, config: Config | None = None, registry: Registry = REGISTRY, text: str = "text", out: str = "entities") -> DataFrame:
     """docs with all entities of all enabled rules, in order of place and source.
 
@@ -203,7 +215,7 @@ def detect(docs: DataFrame, config: Config | None = None, registry: Registry = R
         return docs.withColumn(out, F.array().cast(f"array<{ENTITY}>"))
     # the text is bound once, so rules refer to a column and not to an expression
     docs = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    parts = {f"_{r.name}": rule_spans(F.col("_text"), r, config) for r in rules}
+    parts = built(docs, tuple(rules), config)
     return docs.select("*", *[c.alias(n) for n, c in parts.items()]).withColumn(out, F.array_sort(F.concat(*parts))).drop("_text", *parts)
 
 

@@ -79,12 +79,27 @@ def macro(scores: DataFrame) -> DataFrame:
     return seen.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def union_length(spans: Column) -> Column:
+    """Characters inside any of an array of (start, end)."""
+    return F.aggregate(
+        F.array_sort(spans),
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).alias("n")),
+    )["n"]
+
+
 def char_accuracy(docs: DataFrame, truth: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, accuracy): share of characters with the same in-span flag; 1 for empty texts."""
-    marks = lambda d, n: d.select(key, F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct().withColumn(n, F.lit(1))
-    differs = marks(truth, "t").join(marks(predicted, "p"), [key, "at"], "full").where("t is null or p is null").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    d = docs.select(key, F.length(F.coalesce("text", F.lit(""))).alias("length")).join(differs, key, "left")
-    return d.select(key, F.when(F.col("length") == 0, 1.0).otherwise(1 - F.coalesce("n", F.lit(0)) / F.col("length")).alias("accuracy"))
+    """(key, accuracy): share of characters with the same in-span flag; 1 for empty texts.
+
+    Spans meet in one row a document; characters that differ are twice those of both
+    together, less those of each.
+    """
+    of = lambda d, n: d.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias(n))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    d = docs.select(key, F.length(F.coalesce("text", F.lit(""))).alias("length")).join(of(truth, "t"), key, "left").join(of(predicted, "p"), key, "left")
+    t, p = F.coalesce("t", none), F.coalesce("p", none)
+    differs = 2 * union_length(F.concat(t, p)) - union_length(t) - union_length(p)
+    return d.select(key, F.when(F.col("length") == 0, 1.0).otherwise(1 - differs / F.col("length")).alias("accuracy"))
 
 
 def floor_failures(scores: DataFrame, floors: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.lexicon import MIN_LEAK_LENGTH
-from veil.functions.text import cut_out, overlaps, quoted, spans
+from veil.functions.text import cut_out, let, overlaps, quoted, spans
 
 from .rules import ENTITY
 
@@ -57,16 +57,19 @@ def expand(text: Column, entities: Column, min_length: int = MIN_LEAK_LENGTH, bl
 
 
 def apply(text: Column, assigned: Column) -> Column:
-    """text with each span replaced; a span without replacement is an error."""
-    lost = F.exists(assigned, lambda e: e["replacement"].isNull())
+    """text with each span replaced; null if a span has no replacement.
+
+    Every span gives the gap before it and its replacement, joined once.
+    """
     ordered = F.array_sort(assigned)
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, e: F.struct(e["end"].alias("at"), F.concat(acc["out"], cut_out(text, acc["at"], e["start"]), e["replacement"]).alias("out")),
-        lambda acc: F.concat(acc["out"], cut_out(text, acc["at"], F.length(text))),
-    )
-    return F.when(lost, F.raise_error(F.lit("an entity has no replacement")).cast("string")).otherwise(walked)
+
+    def joined(es: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(es, i - 1)["end"]).otherwise(F.lit(0))
+        pieces = F.transform(es, lambda e, i: F.concat(cut_out(text, before(i), e["start"]), e["replacement"]))
+        last = F.when(F.size(es) > 0, F.get(es, F.size(es) - 1)["end"]).otherwise(F.lit(0))
+        return F.concat(F.array_join(pieces, ""), cut_out(text, last, F.length(text)))
+
+    return F.when(~F.exists(assigned, lambda e: e["replacement"].isNull()), let(ordered, joined))
 
 
 def counts_by_type(entities: DataFrame, *keys: str) -> DataFrame:
@@ -91,23 +94,27 @@ def violations(spans_: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataF
     return d.withColumn("broken", broken).where("broken is not null").select(key, "pii_type", "start", "end", "broken")
 
 
-def blocks_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, block, start, end, text): the lines of each text, with offsets that count the separators."""
-    d = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("block", "text"))
-    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
-    return d.withColumn("start", start).withColumn("end", (F.col("start") + F.length("text")).cast("int")).select(key, "block", "start", "end", "text")
-
-
 def line_blocks(text: Column) -> Column:
-    """The lines of a text as an array of (start, end), inside the row."""
-    walked = F.aggregate(
+    """The lines of a text as an array of (start, end), inside the row.
+
+    The fold copies its array once a line, which suits texts of some ten thousand lines.
+    """
+    return F.aggregate(
         F.split(text, "\n", -1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")))).alias("out")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"))).alias("out")),
         lambda acc: acc["out"],
     )
-    return walked
+
+
+def blocks_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block, start, end, text): the lines of each text, with offsets that count the separators.
+
+    Offsets are folded in the row, so nothing is shuffled.
+    """
+    lines = F.arrays_zip(line_blocks(F.coalesce("text", F.lit(""))).alias("b"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("text"))
+    d = docs.select(key, F.posexplode(lines).alias("block", "x"))
+    return d.select(key, "block", "x.b.start", "x.b.end", "x.text")
 
 
 def drop_cross_block(spans_: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -16,6 +16,8 @@ from veil.functions.text import digits_of
 from veil.operators import audit, candidates, mapping, scoring, spans, verify
 from veil.operators.rules import ENTITY, Config, detect, explode_entities
 
+from veil.store import cut
+
 from .engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,8 +329,6 @@ def candidate_pool(spark, n: int) -> DataFrame:
 
 @query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS real")
 def consistency_map(spark, sf_dir):
-    from veil.llm.common import cut  # here, as that subpackage may be absent
-
     entities = cut(explode_entities(Engine(CONFIG).detect(documents(spark, sf_dir)), "doc_id"))
     # each real value takes out one candidate of a type at most, and a type has as many keys at most
     n = entities.select("text").distinct().count()
