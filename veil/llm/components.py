@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without links do not appear; loops and repeated links are ignored.
     """
     e = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
+    held = e = cut(e)
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u")
         e = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e)
+        held = e = cut(e, held)
         after = _state(e)
         if after == before:
             break

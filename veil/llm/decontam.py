@@ -21,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.text import let
+
 from .common import cut, name_words, small
-from .grams import gram_of, keyed, places
+from .grams import ROW_BYTES, gram_of, keyed, places
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of a document's candidates, some of 100 each, with what a hash table adds.
-CANDIDATE_BYTES = 2000
+#: Bytes of a document with candidates and of each candidate, with what a hash table adds.
+CANDIDATE_BYTES = 64
 
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -71,16 +73,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     start = F.col("pos") - F.col("offset")
     bounds = (start >= 0) & (start + F.col("width") <= F.col("n_words"))
     near = found.where("gram is not null").select("row", "n_words", "pos", "gram").join(first, "gram").where(bounds)
-    near = cut(near.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("width")).alias("end"), "window")).alias("near")))
-    # the words themselves; rows that are alike share a key and are looked at once
-    d = rows.join(small(near, CANDIDATE_BYTES), "row").dropDuplicates(["row"]).withColumn("words", name_words(F.col("text")))
-    same = F.filter("near", lambda c: F.array_join(F.slice("words", c["start"] + 1, c["end"] - c["start"]), " ") == c["window"])
-    hits = cut(d.select("row", same.alias("hits")).where(F.size("hits") > 0))
-    said = hits.select("row", F.explode(F.array_distinct(F.transform("hits", lambda c: c["window"]))).alias("window"))
+    near = cut(near.groupBy("row").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("width")).alias("end"))).alias("near")))
+    n, places_ = near.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("near")), F.lit(0))).first()
+    # the words that stand there, cut once a text, are a window or not; rows that are alike share a key
+    d = rows.join(small(near, 1, CANDIDATE_BYTES * (n + places_)), "row")
+    there = lambda w: F.transform("near", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array_join(F.slice(w, c["start"] + 1, c["end"] - c["start"]), " ").alias("window")))
+    d = d.select("row", F.explode(let(name_words(F.col("text")), there)).alias("c")).select("row", "c.*")
+    hits = cut(d.join(small(first.select("window"), ROW_BYTES), "window", "left_semi").distinct(), near)
+    said = hits.select("row", "window").distinct()
     items_of = said.join(wins.where("item_id is not null").select("window", "item_id"), "window")
     items_of = items_of.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    spans = F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
-    hits = hits.select("row", spans.alias("spans")).join(items_of, "row", "left")
+    hits = hits.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).join(items_of, "row", "left")
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veil.functions.text import let
+
 from .common import cut, name_words, small
 from .grams import ROW_BYTES, gram_of, keyed, places
 
@@ -29,8 +31,8 @@ GRAM = 3
 SLACK = 8
 #: Share of a template's grams that a copy must show.
 COVER = 0.5
-#: Bytes of what a document may hold, with what a hash table adds.
-SPAN_BYTES = 2000
+#: Bytes of a document that may hold a span, of each run there and each vote, with what a hash table adds.
+SPAN_BYTES = 100
 
 # Phrases and labels of the base rule.
 PHRASES = [
@@ -105,9 +107,12 @@ def chain(votes: Column, n_grams: Column) -> Column:
 def verified(rows: DataFrame, runs: DataFrame, cover: float) -> DataFrame:
     """(row, template, label, base, first, end, covered) of runs whose words stand in the text, in order."""
     of = cut(runs.groupBy("row").agg(F.collect_list(F.struct("template", "label", "base", "n_grams", "votes")).alias("runs")))
-    d = rows.join(small(of, SPAN_BYTES), "row").dropDuplicates(["row"]).withColumn("words", name_words(F.col("text")))
-    stands = lambda v: F.array_join(F.slice("words", v["pos"] + 1, GRAM), " ") == v["said"]
-    d = d.select("row", F.transform("runs", lambda r: r.withField("votes", F.filter(r["votes"], stands))).alias("runs"))
+    size = F.size("runs") + F.aggregate("runs", F.lit(0), lambda a, r: a + F.size(r["votes"]))
+    n, more = of.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    d = rows.join(small(of, 1, SPAN_BYTES * (n + more)), "row")
+    stands = lambda w, v: F.array_join(F.slice(w, v["pos"] + 1, GRAM), " ") == v["said"]
+    kept = lambda w: F.transform("runs", lambda r: r.withField("votes", F.filter(r["votes"], lambda v: stands(w, v))))
+    d = cut(d.select("row", let(name_words(F.col("text")), kept).alias("runs"))).dropDuplicates(["row"])
     d = d.select("row", F.explode("runs").alias("r")).select("row", "r.*").where(F.size("votes") > 0)
     d = d.withColumn("covered", chain(F.col("votes"), F.col("n_grams")) / F.col("n_grams"))
     d = d.where(F.col("covered") >= F.when(F.col("base"), 1.0).otherwise(cover))

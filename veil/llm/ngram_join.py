@@ -1,15 +1,19 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document's set is its distinct word 5-grams.  Equal sets are one class, with the least id
-as representative.  A set's tokens are hashed into groups and counted: two sets share at
-most the sum of the smaller counts, and an R-tree over these points prunes whole boxes by
-their largest counts before pairs are looked at.  What survives is verified exactly.
-
-The tree alone cannot be dealt over machines (boxes of unrelated documents overlap), so
-documents first meet in groups by 40 min-hash keys of 3 minima each; a pair at a Jaccard
-of 0.75 misses all of them with probability (1 - 0.75**3)**40 = 3e-10, a closer pair with
-less.  Each group is joined twice: first against its most central member, then, once these
-links are components, by the tree between members of different components only.  So
+A document's set is its distinct word 5-grams.  Equal sets are one class.  A set's tokens
+are hashed into groups and counted: two sets share at most the sum of the smaller counts,
+and an R-tree over these points prunes whole boxes by their largest counts before pairs are
+looked at.  What survives is verified exactly, by 64-bit hashes of the 5-grams.
+
+The tree alone cannot be dealt over machines, as boxes of unrelated documents overlap.  So
+sets meet by their prefixes: with all tokens in one order, two sets with a Jaccard of 0.75
+or more share one of the first quarter (and one more) of either's.  This holds in any order;
+the order used puts rare tokens first, by counts of all tokens of all documents in SLOTS
+hashed counters, so that a passage in very many documents is in the prefix of those alone
+that hold little else.  No linked pair is missed.
+
+The members of a token are joined twice: first against the most central one, then, once
+these links are components, by the tree between members of different components only.  So
 finding the components of a group of thousands of near copies takes a few links each.
 Groups above BLOCK members are dealt as pairs of blocks.
 
@@ -19,10 +23,11 @@ the tree leaves is verified where it is found; the tasks return a count per clas
 pairs.  This costs the square of a component's classes at worst, as its links may.
 
 Defined results: null and empty texts have no shingles and link with nothing, so each is
-its own component, with 0 links; fewer words than a shingle's make one shingle; repeated
-rows get a row each and the same component; rows whose id is null are left without a
-component and without a number of links; other columns are ignored; an empty table gives no
-rows.
+its own component, with 0 links; fewer words than a shingle's make one shingle; every row
+gets a row, repeated rows the same component; a row without an id links as any other, and
+its class and component are the least ids there are among those, null if there are none;
+other columns are ignored; an empty table gives no rows; a very long text is handled alone,
+with memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -35,18 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit
-from .common import cut, small
+from .common import cut, row_key, small
 from .components import components
 
 SHINGLE = 5
-BANDS, MINIMA = 40, 3
 GROUPS = 256
+#: Counters of tokens, and the bits of a hash that choose one.
+SLOT_BITS = 16
+#: Pairs whose hub's text is sent once.
+HUB_PAIRS = 500
 #: Members of a key that one task joins; a larger group is dealt as pairs of such blocks.
 BLOCK = 1000
 #: Shingles of a block of a component's classes, on average.
 BLOCK_SHINGLES = 1_000_000
 #: Points of a node of the tree.
 FAN = 16
+#: Column that carries a row's key beside columns of any name.
+KEY = "_veil_row"
 #: Bytes of a broadcast row of two numbers, with what a hash table adds.
 PAIR_BYTES = 64
 
@@ -73,47 +83,85 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return v, np.searchsorted(o, np.arange(len(n) + 1))
 
 
-def _multipliers(n: int) -> np.ndarray:
-    return bytekit.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+def frequency_classes(docs: DataFrame) -> np.ndarray:
+    """The binary logarithm of the count of each hashed counter of tokens, over all docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in bytekit.slices(batches):
+            word, rows = bytekit.words(batch.column("text"), bytekit.SPACE_WORD, lower=True)
+            sums += np.bincount(slots(bytekit.grams(word, SHINGLE)), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["slot", "n"])
+
+    table = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.uint64)
+    out[table.column("slot").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint64)
+    return out
+
+
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefixes(v: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each row's prefix, rare ones first, and how many they are."""
+    order = (classes[slots(v)] << np.uint64(58)) | (v & np.uint64((1 << 58) - 1))
+    owner = bytekit.row_of(rows)
+    sorted_ = np.lexsort((order, owner))
+    n = np.diff(rows)
+    size = np.where(n > 0, n // 4 + 1, 0)
+    place = np.arange(len(v)) - rows[:-1][owner]
+    return v[sorted_][place < size[owner]], size
 
 
-def sketch_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def sketch_batch(batch: pa.RecordBatch, classes: np.ndarray) -> pa.RecordBatch:
     v, rows = shingle_sets(batch.column("text"))
     n = np.diff(rows)
     some = np.flatnonzero(n)
-    at = rows[:-1][some]
-    high = np.zeros(len(n), np.uint64)
-    low = np.zeros(len(n), np.uint64)
+    high, low = set_hashes(v, rows)
     counts = np.zeros((len(n), GROUPS), np.int64)
-    keys = np.zeros((len(some), BANDS), np.uint64)
     if len(some):
-        high[some] = np.add.reduceat(v, at)
-        low[some] = np.add.reduceat(bytekit.mix(v), at)
-        owner = bytekit.row_of(rows)
-        counts = np.bincount(owner * GROUPS + (v >> np.uint64(11)).astype(np.int64) % GROUPS, minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
-        for i, m in enumerate(_multipliers(BANDS * MINIMA)):
-            least = np.minimum.reduceat(v * m, at)
-            keys[:, i // MINIMA] = bytekit.mix(keys[:, i // MINIMA] * np.uint64(31) + least + np.uint64(i // MINIMA))
+        counts = np.bincount(bytekit.row_of(rows) * GROUPS + group_of(v), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
     vectors = np.minimum(counts, 255).astype(np.uint8)
+    keys, size = prefixes(v, rows, classes)
     return pa.record_batch(
         [
-            batch.column("doc_id").cast(pa.int64()),
+            batch.column("row"),
+            batch.column("doc_id"),
             pa.array(n.astype(np.int64)),
             pa.array(high.view(np.int64)),
             pa.array(low.view(np.int64)),
             pa.array([x.tobytes() for x in vectors], pa.binary()),
-            bytekit.list_array(pa.array(keys.reshape(-1).view(np.int64)), np.where(n > 0, BANDS, 0)),
+            bytekit.list_array(pa.array(keys.view(np.int64)), size),
         ],
-        ["doc_id", "n_shingles", "set_high", "set_low", "counts", "keys"],
+        ["row", "doc_id", "n_shingles", "set_high", "set_low", "counts", "keys"],
     )
 
 
+def group_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(11)).astype(np.int64) % GROUPS
+
+
+def set_hashes(v: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set, 0 where it is empty."""
+    high, low = np.zeros(len(rows) - 1, np.uint64), np.zeros(len(rows) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(rows))
+    if len(some):
+        high[some] = np.add.reduceat(v, rows[:-1][some])
+        low[some] = np.add.reduceat(bytekit.mix(v), rows[:-1][some])
+    return high, low
+
+
 def sketches(docs: DataFrame) -> DataFrame:
+    """docs (row, doc_id, text) to sizes, hashes, count vectors and prefixes of their sets."""
+    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytekit.slices(batches):
-            yield sketch_batch(batch)
+            yield sketch_batch(batch, classes.value)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_high long, set_low long, counts binary, keys array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, n_shingles long, set_high long, set_low long, counts binary, keys array<long>")
 
 
 def widened(vectors: np.ndarray) -> np.ndarray:
@@ -238,29 +286,46 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return d.select("a", "b", "size_a", "counts_a", "size", "counts").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) whose sets have 100 * shared >= 75 * united."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) of rows whose sets have 100 * shared >= 75 * united; b is the hub of many pairs.
+
+    A hub's text meets HUB_PAIRS of its partners at a time, so it is sent once for all of
+    these and a hub of any number of partners is spread over tasks.
+    """
     pairs = cut(pairs.distinct())
     n = pairs.count()
-    texts = docs.select("doc_id", "text")
-    d = texts.withColumnRenamed("doc_id", "a").withColumnRenamed("text", "text_a").join(small(pairs, PAIR_BYTES, n), "a")
-    partners = pairs.select(F.col("b").alias("doc_id")).distinct()
-    right = texts.join(small(partners, PAIR_BYTES, n), "doc_id", "left_semi").withColumnRenamed("doc_id", "b")
-    d = d.join(right, "b").select("a", "b", "text_a", "text")
+    hubs = cut(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("parts")))
+    m = hubs.count()
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+    left = pairs.join(small(hubs, PAIR_BYTES, m), "b").select("a", "b", part)
+    left = texts.withColumnRenamed("row", "a").join(small(left, PAIR_BYTES, n), "a").select("b", "part", "a", "text")
+    right = texts.withColumnRenamed("row", "b").join(small(hubs, PAIR_BYTES, m), "b")
+    right = right.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    d = left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in bytekit.slices(iter([whole])):
-                x, xs = shingle_sets(batch.column("text_a"))
-                y, ys = shingle_sets(batch.column("text"))
-                v = np.concatenate([x, y])
-                o = np.concatenate([bytekit.row_of(xs), bytekit.row_of(ys)])
-                order = np.lexsort((v, o))
-                v, o = v[order], o[order]
-                twice = (v[1:] == v[:-1]) & (o[1:] == o[:-1])
-                shared = np.bincount(o[1:][twice], minlength=batch.num_rows)
-                united = np.diff(xs) + np.diff(ys) - shared
-                yield batch.select(["a", "b"]).filter(pa.array(100 * shared >= 75 * united))
+        hub, tokens = None, np.zeros(0, np.uint64)
+        for batch in bytekit.slices(batches):
+            v, rows = shingle_sets(batch.column("text"))
+            n = np.diff(rows)
+            b = batch.column("b").to_numpy()
+            is_hub = batch.column("a").is_null().to_numpy(zero_copy_only=False)
+            good = np.zeros(len(n), bool)
+            # rows of one hub follow each other, its own first
+            cuts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                for i in range(x, y):
+                    if is_hub[i]:
+                        hub, tokens = b[i], v[rows[i] : rows[i + 1]]
+                own = np.arange(x, y)[~is_hub[x:y]]
+                if b[x] != hub or not len(own):
+                    continue
+                mine = v[rows[x] : rows[y]]
+                at = np.minimum(np.searchsorted(tokens, mine), max(len(tokens) - 1, 0))
+                hit = np.concatenate([[0], np.cumsum(tokens[at] == mine if len(tokens) else np.zeros(len(mine), bool))])
+                shared = hit[rows[own + 1] - rows[x]] - hit[rows[own] - rows[x]]
+                good[own] = 100 * shared >= 75 * (n[own] + len(tokens) - shared)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return d.mapInArrow(run, "a long, b long").distinct()
 
@@ -295,84 +360,97 @@ def link_counts(values: np.ndarray, rows: np.ndarray, sides: np.ndarray) -> np.n
     return out
 
 
-def counted_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """classes (class_id, set_high, set_low, size, component) to their (class_id, set_high, set_low, n_links), those without links left out."""
+def counted_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """classes (id, size, component) to (id, n_links), those without links left out; texts are (row, text)."""
     groups_ = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles")).where("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    d = cut(classes.join(groups_.select("component", blocks.alias("blocks")), "component"))
-    n = d.count()
-    # an id that stands with several texts may have several classes: each row finds its own by its set
-    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(small(d.drop("size"), 2 * PAIR_BYTES, n), "class_id")
-    texts = texts.withColumn("mine", F.pmod(F.xxhash64("set_high", "set_low"), F.col("blocks")).cast("int"))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = cut(classes.join(groups_.select("component", blocks.alias("blocks")), "component").select(F.col("id").alias("row"), "component", "blocks"))
+    d = texts.join(small(d, 2 * PAIR_BYTES), "row").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    texts = texts.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "class_id", "set_high", "set_low", "text")
+    d = d.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "row", "text")
     # a block's pairs inside itself are made where it stands alone
-    texts = texts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    d = d.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ("component", "lo", "hi")):
-            values, rows = shingle_sets(t.column("text").combine_chunks())
-            sizes = np.diff(rows)
-            high, low = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-            some = np.flatnonzero(sizes)
-            if len(some):
-                high[some] = np.add.reduceat(values, rows[:-1][some])
-                low[some] = np.add.reduceat(bytekit.mix(values), rows[:-1][some])
-            high, low = high.view(np.int64), low.view(np.int64)
-            own = np.flatnonzero((sizes > 0) & (high == t.column("set_high").to_numpy()) & (low == t.column("set_low").to_numpy()))
             # repeated rows are one
-            own = own[np.sort(np.unique(np.stack([high[own], low[own]]), axis=1, return_index=True)[1])]
-            values = values[bytekit.ranges(rows[:-1][own], sizes[own])]
-            links = link_counts(values, np.concatenate([[0], np.cumsum(sizes[own])]), t.column("side").to_numpy()[own])
-            t = t.take(own[links > 0])
-            for batch in t.select(["class_id", "set_high", "set_low"]).append_column("n", pa.array(links[links > 0])).combine_chunks().to_batches():
+            t = t.take(np.unique(t.column("row").to_numpy(), return_index=True)[1])
+            values, rows = shingle_sets(t.column("text").combine_chunks())
+            links = link_counts(values, rows, t.column("side").to_numpy())
+            out = t.filter(pa.array(links > 0))
+            for batch in out.select(["row"]).append_column("n", pa.array(links[links > 0])).combine_chunks().to_batches():
                 yield batch
 
-    return texts.mapInArrow(run, "class_id long, set_high long, set_low long, n long").groupBy("class_id", "set_high", "set_low").agg(F.sum("n").alias("n_links"))
-
-
-def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """near_components() with the set of each row, and the classes (class_id, set_high, set_low, size)."""
-    s = cut(sketches(docs))
-    classes = cut(s.where("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low").agg(F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("size")))
-    reps = s.where("n_shingles > 0").join(classes, (s["doc_id"] == classes["class_id"]) & (s["set_high"] == classes["set_high"]) & (s["set_low"] == classes["set_low"]), "left_semi")
-    points = cut(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "counts", "keys"))
-    keyed = points.select("id", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    members = cut(keyed.join(shared, "key"))
+    return d.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links")).withColumnRenamed("row", "id")
+
+
+def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """near_components() with the id of each row's class, the classes (id, size, component), and the texts by row."""
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = keyed.select("row", "text")
+    s = cut(sketches(keyed))
+    # a class goes by one of its rows, which stands for all of them
+    classes = cut(s.where("n_shingles > 0").groupBy("set_high", "set_low").agg(F.min("row").alias("id"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("size")))
+    reps = s.where("n_shingles > 0").join(classes.select(F.col("id").alias("row")), "row", "left_semi")
+    points = cut(reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "counts", "keys").dropDuplicates(["id"]))
+    tokens = points.select("id", F.explode("keys").alias("key"))
+    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = cut(tokens.join(shared, "key"))
     central = members.groupBy("id").agg(F.sum("m").alias("weight"))
-    leaders = members.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("leader"))
+    weighed = members.join(central, "id")
+    # the heaviest member, the least of equals, by two hash aggregates
+    most = weighed.groupBy("key").agg(F.max("weight").alias("weight"))
+    leaders = weighed.join(most, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
     first = members.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = cut(verified(bounded(cut(first), points), docs))
+    links = cut(verified(bounded(cut(first), points), texts))
     labels = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_members = members.join(mixed, "key").join(points.select("id", "size", "counts"), "id")
-    more = cut(verified(tree_pairs(open_members), docs))
+    named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_members = cut(named.join(mixed, "key").join(points.select("id", "size", "counts"), "id"), members)
+    more = cut(verified(tree_pairs(open_members), texts), open_members, points)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(every)
-    d = s.select("doc_id", "n_shingles", "set_high", "set_low").join(classes.drop("size"), ["set_high", "set_low"], "left")
-    d = d.withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    d = d.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id")
-    return d.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), component, "set_high", "set_low"), classes
+    final = components(every).withColumnRenamed("node", "id")
+    classes = cut(classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id")), classes)
+    least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    of = classes.join(least, "component").select("set_high", "set_low", "id", "class_id", "component_id", "component")
+    d = s.drop("counts", "keys").join(of, ["set_high", "set_low"], "left")
+    some = F.col("n_shingles") > 0
+    own = lambda c: F.when(some, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return d.select("row", "doc_id", "n_shingles", own("class_id"), own("component_id"), "id", "component"), classes, texts
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, class_id, component_id.
+    """One row per row of docs: row (its key), doc_id, n_shingles, class_id, component_id.
 
     class_id is the least id with the very same set; component_id the least id reached by links.
     """
-    return _near(docs)[0].drop("set_high", "set_low")
+    return _near(docs)[0].drop("id", "component")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """near_components() with n_links: how many other classes, each one different set, the row's class is linked to."""
-    d, classes = _near(docs)
+    d, classes, texts = _near(docs)
     d = cut(d)
-    of_class = d.where("n_shingles > 0 and doc_id is not null").groupBy("class_id", "set_high", "set_low").agg(F.min("component_id").alias("component"))
-    links = counted_links(classes.join(of_class, ["class_id", "set_high", "set_low"]), docs)
-    d = d.join(links, ["class_id", "set_high", "set_low"], "left")
-    n = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
-    return d.select("doc_id", "n_shingles", "class_id", "component_id", n.alias("n_links"))
+    links = counted_links(classes.select("id", "size", "component"), texts)
+    d = d.join(links, "id", "left")
+    return d.select("row", "doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, without those that another row of their component stands for.
+
+    That is the one of the least id, then of the least key.  Rows that are alike are one; rows
+    without shingles all stay.
+    """
+    found = cut(_near(docs)[0].where("component is not null").select("row", "doc_id", "component", "component_id"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("first"))
+    found = found.join(first, "component")
+    lost = cut(found.where("row <> first").select(F.col("row").alias(KEY)).distinct())
+    again = cut(found.where("row = first").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias(KEY)))
+    keyed = docs.withColumn(KEY, row_key("doc_id", "text"))
+    kept = keyed.join(small(lost, PAIR_BYTES), KEY, "left_anti")
+    if n := again.count():
+        more = small(again, PAIR_BYTES, n)
+        kept = kept.join(more, KEY, "left_anti").unionByName(kept.join(more, KEY, "left_semi").dropDuplicates([KEY]))
+    return kept.select(*docs.columns)

@@ -45,6 +45,8 @@ from .common import cut, row_key, small
 LEAST = 50
 #: Words of the gram whose hash selects positions.
 SEED = 8
+#: Bytes of a text with places, and of each place, with what a hash table adds.
+PLACE_BYTES = 64
 #: Bits of a position that stand in for the last bits of a seed's hash while the least is sought.
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -196,8 +198,8 @@ def windows(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """docs (row, text) and suffixes (row, seed, first, n, sure) to their windows: (seed, whole, row, at, known)."""
     places = found.groupBy("row").agg(F.collect_list(F.struct("seed", "first", "n", "sure")).alias("places"))
     places = cut(places)
-    # a text's places are some 30 bytes each, and few
-    d = docs.join(small(places, 500), "row")
+    n, more = places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    d = docs.join(small(places, 1, PLACE_BYTES * (n + more)), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytekit.slices(batches):
