@@ -3,19 +3,24 @@
 Every stage takes the documents that its predecessor kept and returns documents, all
 columns; the last returns what its token files hold.  run() writes each stage's result as
 Parquet to the shared folder and reads it again, so a lost executor costs one stage at
-most.
+most; what a stage wrote besides is deleted when it is done.
+
+All stages judge a row by its own text, whether or not it has an id that others share.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veil.llm import decontam, langid, mixing, ngram_join, token_files
-from veil.llm.common import cut, prepare, read, small
+from veil.llm.common import cut, prepare, read, release, row_key, small
+from veil.store import scratch, shared_dir, shared_path
 
-#: Ids that may be broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of a broadcast key, with what a hash table adds.
+KEY_BYTES = 64
 #: A document's main language must have this share of its words.
 LEAST_LANGUAGE = 0.4
 
@@ -23,55 +28,66 @@ ORACLE_SQL: str | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or without a main language."""
+    """Drop documents without letters or without a main language.
+
+    Null and empty texts go; a text goes by its own words alone, so repeated rows and rows
+    without an id are judged alike; equal shares go to the first language by code point; an
+    empty table stays empty; all columns stay, of any name; a very long text is handled alone.
+    """
     prepare(spark)
     out = F.coalesce(langid.held_out(F.col("doc_id"), 4, 2), F.lit(False))
     return langid.keep_identified(docs, langid.learn(docs.where(~out)), LEAST_LANGUAGE)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in ids."""
-    ids = cut(ids.select("doc_id").distinct())
-    return docs.join(small(ids, ids.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near copies; repeated rows are one."""
+    """Keep one document of each group of near copies: that of the least id.
+
+    Rows that are alike in id and text are one; null and empty texts have no shingles and all
+    stay; a row without an id is kept only where its group has no id; equal ids go by a hash
+    of the text; an empty table stays empty; all columns stay, of any name.
+    """
     prepare(spark)
-    found = cut(ngram_join.near_components(docs))
-    again = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    kept = without(docs, found.where("component_id <> doc_id"))
-    n = again.count()
-    if not n:
-        return kept
-    once = kept.join(small(again, n, BROADCAST_IDS), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return without(kept, again).unionByName(once)
+    return ngram_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item's window."""
+    """Drop documents that hold a benchmark item's window.
+
+    Each row goes by its own text; null and empty texts stay; with an empty benchmark all
+    stay; an empty table stays empty; all columns stay, of any name.
+    """
     prepare(spark)
-    return without(docs, decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0"))
+    key = ngram_join.KEY
+    hit = cut(decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("row").alias(key)).distinct())
+    return docs.withColumn(key, row_key("doc_id", "text")).join(small(hit, KEY_BYTES), key, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that sources reach their target shares of words.
 
-    Each row has its own number of copies, also one without an id or with that of others.
+    Each row has its own number of copies, also one without an id or with that of others;
+    null and empty texts are never taken; a null source is one of its own; equal keys go by
+    id, then size; an empty table stays empty; all columns stay, of any name.
     """
     prepare(spark)
+    row, copies_ = "_veil_row", "_veil_copies"
     # written with the numbers, as they need not be the same when made again
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mixed = mixing.mix_documents(rows, read(spark, sf_dir, "labels"), row="_row").where("taken > 0")
-    copies = cut(mixed.select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_copies")))
-    d = rows.join(small(copies, copies.count(), BROADCAST_IDS), "_row")
-    return d.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mixing.mix_documents(rows, read(spark, sf_dir, "labels"), row=row).where("taken > 0")
+    copies = cut(mixed.select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies_)))
+    d = rows.join(small(copies, KEY_BYTES), row)
+    return d.withColumn(copies_, F.explode(F.sequence(F.lit(1), F.col(copies_)))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and return what they hold."""
+    """Write token files and return what they hold.
+
+    The files stay, in a folder of their own below pipeline-tokens in the shared folder.
+    Null texts are empty and get the end id alone; repeated rows are written each; rows
+    without an id come first; an empty table gives no rows; other columns are not written.
+    """
     prepare(spark)
-    return token_files.encode_documents(spark, docs)
+    return token_files.encode_documents(spark, docs, folder=f"{shared_dir(spark).rstrip('/')}/pipeline-tokens/{uuid.uuid4().hex}")
 
 
 STAGES = [
@@ -86,6 +102,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     docs = read(spark, sf_dir, "documents")
-    for _name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = shared_path(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        release(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs._veil_path = path
     return docs
