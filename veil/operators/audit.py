@@ -113,6 +113,24 @@ def churn(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     return pairs.select(key, F.size(a).alias("blocks"), F.when(F.size(a) == F.size(b), differ).alias("changed"))
 
 
+def structure(pairs: DataFrame) -> DataFrame:
+    """One row: blocks, characters, tables and parts before and after, blocks that changed and their share.
+
+    pairs are (blocks, n_tables, n_parts, text) before and the same with new_ in front; texts of
+    blocks are compared where a document has as many as before.
+    """
+    said = lambda t, bs: F.transform(bs, lambda b: F.substring(t, b["start"] + 1, b["end"] - b["start"]))
+    same = F.size("blocks") == F.size("new_blocks")
+    changed = F.size(F.filter(F.arrays_zip(said(F.col("text"), F.col("blocks")).alias("a"), said(F.col("new_text"), F.col("new_blocks")).alias("b")), lambda x: x["a"] != x["b"]))
+    total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n)
+    d = pairs.agg(
+        total(F.size("blocks"), "blocks"), total(F.size("new_blocks"), "new_blocks"), F.count_if(~same).alias("unmatched"),
+        total(F.length("text"), "chars"), total(F.length("new_text"), "new_chars"), total("n_tables", "tables"), total("new_n_tables", "new_tables"),
+        total("n_parts", "parts"), total("new_n_parts", "new_parts"), total(F.when(same, changed), "changed"),
+    )
+    return d.withColumn("churn_pct", F.round(100 * F.col("changed") / F.greatest(F.col("blocks"), F.lit(1)), 1))
+
+
 def surrogate_quality(pairs: DataFrame) -> DataFrame:
     """Distinct card numbers and SSNs of the output, and those that are not well formed."""
     values = probe_values(pairs.select("doc_id", F.col("rewritten").alias("text"))).where("probe in ('card', 'ssn')")
@@ -127,13 +145,17 @@ def surrogate_quality(pairs: DataFrame) -> DataFrame:
 def metadata(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, field, value): names of people left in the core properties part."""
     both = [(f, F.regexp_extract("text", rf"(?s)<{f}>(.*?)</{f}>", 1)) for f in ("dc:creator", "cp:lastModifiedBy")]
-    d = parts.where("part_name = 'docProps/core.xml'").select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in both])).alias("x"))
+    d = parts.where("part_name = 'docProps/core.xml'").select(key, "text").select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in both])).alias("x"))
     return d.select(key, "x.*").where(squeeze(F.col("value")) != "")
 
 
-def totals(pairs: DataFrame, config: Config, key: str = "doc_id") -> DataFrame:
-    """One row: leaks of the rules' view and of the probes' view, and whether there are none."""
+def totals(pairs: DataFrame, config: Config, key: str = "doc_id", parts: DataFrame | None = None) -> DataFrame:
+    """One row: leaks of the rules' view and of the probes' view, fields that name people, and whether there are none."""
     applied = survived(rule_found(pairs, config, key), pairs, key).agg(F.count_if("visible").alias("applied_leaks"))
     probes = survived(probe_values(pairs, key), pairs, key).agg(F.count_if(F.col("visible") | F.col("buried")).alias("probe_leaks"))
     d = applied.crossJoin(probes)  # one row each
-    return d.withColumn("clean", (F.col("applied_leaks") == 0) & (F.col("probe_leaks") == 0))
+    named = F.lit(0).cast("long")
+    if parts is not None:
+        d = d.crossJoin(metadata(parts, key).agg(F.count(F.lit(1)).alias("metadata_fields")))  # one row
+        named = F.col("metadata_fields")
+    return d.withColumn("metadata_fields", named).withColumn("clean", (F.col("applied_leaks") == 0) & (F.col("probe_leaks") == 0) & (F.col("metadata_fields") == 0))

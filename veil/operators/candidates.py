@@ -42,15 +42,15 @@ def normalise_spaces(text: Column) -> Column:
 def chunks(text: Column, most: int = 80_000) -> Column:
     """Array of (start, text): whole lines packed up to a number of characters; a longer line is one chunk."""
     lines = F.split(text, r"(?<=\n)")
-    walked = F.aggregate(
-        lines,
-        F.array().cast("array<struct<start:int,text:string>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.length(F.element_at(acc, -1)["text"]) + F.length(x) <= most),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.concat(F.element_at(acc, -1)["text"], x).alias("text")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(F.when(F.size(acc) > 0, F.element_at(acc, -1)["start"] + F.length(F.element_at(acc, -1)["text"])).otherwise(0).alias("start"), x.alias("text"))))),
-    )
-    return F.filter(walked, lambda c: F.length(c["text"]) > 0)
+    size = lambda x: F.length(x) - F.endswith(x, F.lit("\n")).cast("int")  # noqa: E731  a line end in the last place does not count
+    one = lambda start, t: F.struct(start.cast("int").alias("start"), t.alias("text"))
+
+    def pack(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(one(last["start"], F.concat(last["text"], x))))
+        return F.when(F.size(acc) == 0, F.array(one(F.lit(0), x))).when(F.length(last["text"]) + size(x) <= most, longer).otherwise(F.array_append(acc, one(last["start"] + F.length(last["text"]), x)))
+
+    return F.filter(F.aggregate(lines, F.array().cast("array<struct<start:int,text:string>>"), pack), lambda c: F.length(c["text"]) > 0)
 
 
 def pieces_of(text: Column, start: Column, end: Column, separator: str) -> Column:

@@ -26,6 +26,8 @@ class Config:
     as_of: str | None = None
     agreement: bool = False
     use_candidates: bool = True
+    model: str | None = None
+    threshold: float = 0.5
     verify_output: bool = True
 
     def __post_init__(self) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.operators import mapping, spans, verify
+from veil.operators import candidates, mapping, model, spans, verify
 from veil.operators.rules import ENTITY, REGISTRY, Config, Registry, detect
 from veil.sources import docx
 from veil.store import cut
@@ -17,11 +17,19 @@ class Engine:
     def __init__(self, config: Config | None = None, registry: Registry = REGISTRY):
         self.config, self.registry = config or Config(), registry
 
+    def candidates(self, docs: DataFrame, key: str = "doc_id") -> DataFrame | None:
+        """Accepted entities (key, entities) of the configured model, if there is one."""
+        if not (self.config.model and self.config.use_candidates):
+            return None
+        raw = model.raw_spans(docs, self.config.model, key, threshold=self.config.threshold)
+        return candidates.accepted(docs, cut(raw), self.config, key)
+
     def detect(self, docs: DataFrame, candidates: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
         """docs with disjoint entities; candidates (key, entities) of a model join by key."""
         d = detect(docs, self.config, self.registry)
-        if candidates is not None and self.config.use_candidates:
-            more = candidates.select(F.col(key).alias("_k"), F.col("entities").alias("_more"))
+        found = candidates if candidates is not None else self.candidates(docs, key)
+        if found is not None and self.config.use_candidates:
+            more = found.select(F.col(key).alias("_k"), F.col("entities").alias("_more"))
             none = F.array().cast(f"array<{ENTITY}>")
             d = d.join(more, F.col(key) == F.col("_k"), "left")
             d = d.withColumn("entities", F.array_sort(F.concat("entities", F.coalesce("_more", none)))).drop("_k", "_more")
@@ -38,7 +46,7 @@ class Engine:
         inside = None
         if by_line or blocks:
             d = d.withColumn("_blocks", F.col(blocks) if blocks else spans.line_blocks(text))
-            inside = F.coalesce(F.col("_blocks"), F.array().cast("array<struct<start:int,end:int>>")) if not blocks else F.col("_blocks")
+            inside = F.col("_blocks")
             d = d.withColumn("entities", F.filter("entities", lambda e: F.exists(inside, lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"]))))
         d = d.withColumn("entities", spans.expand(text, F.col("entities"), blocks=inside))
         if inside is not None:
