@@ -6,9 +6,7 @@ that SQL computes the expected verdict from the key and not by a second regular
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions import context, surrogates, validators
@@ -19,32 +17,13 @@ from veil.operators.rules import ENTITY, Config, detect, explode_entities
 from veil.store import cut
 
 from .engine import Engine
+from .registry import ORACLES, QUERIES, cases, cases_sql, documents, query, table
+from .vectors import VECTORS
+
+__all__ = ["ORACLES", "QUERIES"]
 
-Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-06-30"
 CONFIG = Config(as_of=AS_OF)
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL if there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def found(docs: DataFrame, *kinds: str) -> DataFrame:
@@ -75,30 +54,19 @@ def detect_ip(spark, sf_dir):
     return found(documents(spark, sf_dir), "IP_ADDRESS")
 
 
-@query()
-def detect_phone(spark, sf_dir):
-    return found(documents(spark, sf_dir), "PHONE")
-
+# Detection over the vectors: each text has one value, or none, that its rule must find
 
-@query()
-def detect_card(spark, sf_dir):
-    return found(documents(spark, sf_dir), "CREDIT_CARD")
 
-
-@query()
-def detect_domain(spark, sf_dir):
-    return found(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "DOMAIN")
+def vectors(kind: str, name: str) -> None:
+    rows, names = VECTORS[kind], ("text", "value")
+    sql = f"""
+    SELECT doc_id, CAST(strpos(text, value) - 1 AS BIGINT) AS span_start, CAST(strpos(text, value) - 1 + length(value) AS BIGINT) AS span_end, value
+    FROM {cases_sql(rows, names)} WHERE value IS NOT NULL"""
+    query(sql, name)(lambda spark, sf_dir: found(cases(spark, sf_dir, rows, names), kind))
 
 
-@query()
-def detect_all(spark, sf_dir):
-    d = explode_entities(detect(documents(spark, sf_dir), CONFIG), "doc_id")
-    return d.withColumnsRenamed({"start": "span_start", "end": "span_end"})
-
-
-@query()
-def counts_by_type(spark, sf_dir):
-    return spans.counts_by_type(explode_entities(Engine(CONFIG).detect(documents(spark, sf_dir)), "doc_id"))
+for _kind in VECTORS:
+    vectors(_kind, {"PHONE": "detect_phone", "CREDIT_CARD": "detect_card", "DOMAIN": "detect_domain"}.get(_kind, f"vectors_{_kind.lower()}"))
 
 
 # Detection over texts written from keys
