@@ -317,12 +317,6 @@ def lower_vocabulary(spark, sf_dir):
     return candidates.lower_vocabulary(documents(spark, sf_dir))
 
 
-@query()
-def judged_candidates(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return candidates.judged(d, candidates.title_case_model(d), CONFIG).withColumnsRenamed({"start": "span_start", "end": "span_end"})
-
-
 # Scoring
 
 
@@ -369,3 +363,7 @@ def score_rollup(spark, sf_dir):
 @query("SELECT doc_id, 'sha256:' || sha256('1' || chr(10) || text) AS fingerprint FROM documents")
 def fingerprint(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", scoring.fingerprint(F.lit("1"), F.col("text")).alias("fingerprint"))
+
+
+# Queries of the other modules register themselves
+from . import catalogue_text  # noqa: E402, F401

@@ -68,3 +68,8 @@ def cases_sql(rows: Sequence[Sequence], names: Sequence[str]) -> str:
     kinds = [any(isinstance(r[i], str) for r in rows) for i in range(len(names))]
     cols = ", ".join(f"replace(v.{n}, '{MARK}', lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS {n}" if s else f"v.{n}" for n, s in zip(names, kinds, strict=True))
     return f"(SELECT c_custkey AS doc_id, {cols} FROM customer JOIN (VALUES {values}) AS v(i, {', '.join(names)}) ON c_custkey % {len(rows)} = v.i)"
+
+
+def place_of(value: str, text: str = "text") -> Column:
+    """Where a column's value first stands in a text, from 0."""
+    return (F.call_function("locate", F.col(value), F.col(text)) - 1).cast("int")
