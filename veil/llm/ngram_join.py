@@ -8,14 +8,16 @@ looked at.  What survives is verified exactly, by 64-bit hashes of the 5-grams.
 The tree alone cannot be dealt over machines, as boxes of unrelated documents overlap.  So
 sets meet by their prefixes: with all tokens in one order, two sets with a Jaccard of 0.75
 or more share one of the first quarter (and one more) of either's.  This holds in any order;
-the order used puts rare tokens first, by counts of all tokens of all documents in SLOTS
+the order used puts rare tokens first, by counts of all tokens of all documents in
 hashed counters, so that a passage in very many documents is in the prefix of those alone
 that hold little else.  No linked pair is missed.
 
-The members of a token are joined twice: first against the most central one, then, once
-these links are components, by the tree between members of different components only.  So
-finding the components of a group of thousands of near copies takes a few links each.
-Groups above BLOCK members are dealt as pairs of blocks.
+The members of a token are joined first against the most central one, then, where they are
+still in different components, in ROUNDS against a member that a hash chooses, by a few of
+their tokens, and at last by the tree between all members of different components.  The
+rounds only save work: finding the components of a group of thousands of near copies takes
+a few links each, and the tree, which misses nothing, is left with the few groups that are
+apart.  Groups above BLOCK members are dealt as pairs of blocks.
 
 near_links() then counts all links.  A link lies inside one component, so the classes of a
 component are joined with each other by the tree, in pairs of blocks, and every pair that
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit
@@ -45,8 +47,10 @@ from .components import components
 
 SHINGLE = 5
 GROUPS = 256
-#: Counters of tokens, and the bits of a hash that choose one.
-SLOT_BITS = 16
+#: Bits of a hash that choose a counter of tokens (four million, a byte each), and the parts they are sent in.
+SLOT_BITS, CHUNKS = 22, 64
+#: Rounds of joins with leaders chosen by chance, and the tokens by which a set takes part in one.
+ROUNDS, ROUND_KEYS = 2, 8
 #: Pairs whose hub's text is sent once.
 HUB_PAIRS = 500
 #: Members of a key that one task joins; a larger group is dealt as pairs of such blocks.
@@ -84,20 +88,43 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def frequency_classes(docs: DataFrame) -> np.ndarray:
-    """The binary logarithm of the count of each hashed counter of tokens, over all docs."""
+    """The binary logarithm of the count of each hashed counter of tokens, over all docs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SLOT_BITS, np.int64)
+    A task sends its counters in chunks of a byte each, full ones at 255; a chunk's bytes
+    are summed as they come in, so memory is that of the counters.
+    """
+    size = 1 << SLOT_BITS
+    chunk = size // CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = np.zeros(size, np.int64), []
         for batch in bytekit.slices(batches):
-            word, rows = bytekit.words(batch.column("text"), bytekit.SPACE_WORD, lower=True)
-            sums += np.bincount(slots(bytekit.grams(word, SHINGLE)), minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["slot", "n"])
-
-    table = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.uint64)
-    out[table.column("slot").to_numpy()] = np.log2(table.column("n").to_numpy()).astype(np.uint64)
-    return out
+            word, _ = bytekit.words(batch.column("text"), bytekit.SPACE_WORD, lower=True)
+            held.append(slots(bytekit.grams(word, SHINGLE)))
+            if sum(map(len, held)) > size // 4:
+                sums += np.bincount(np.concatenate(held), minlength=size)
+                held = []
+        if held:
+            sums += np.bincount(np.concatenate(held), minlength=size)
+        each = np.minimum(sums, 255).astype(np.uint8).reshape(CHUNKS, chunk)
+        for i, x in enumerate(each):
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.tobytes()])], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
+        for i, x in sums.items():
+            classes = np.log2(np.maximum(x, 1)).astype(np.uint8)
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([classes.tobytes()])], ["chunk", "classes"])
+
+    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary")
+    table = rows.repartition("chunk").mapInArrow(add, "chunk int, classes binary").toArrow()
+    out = np.zeros((CHUNKS, chunk), np.uint8)
+    for i, x in zip(table.column("chunk").to_pylist(), table.column("classes"), strict=True):
+        out[i] = np.frombuffer(x.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
 
 def slots(tokens: np.ndarray) -> np.ndarray:
@@ -106,7 +133,7 @@ def slots(tokens: np.ndarray) -> np.ndarray:
 
 def prefixes(v: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of each row's prefix, rare ones first, and how many they are."""
-    order = (classes[slots(v)] << np.uint64(58)) | (v & np.uint64((1 << 58) - 1))
+    order = (classes[slots(v)].astype(np.uint64) << np.uint64(58)) | (v & np.uint64((1 << 58) - 1))
     owner = bytekit.row_of(rows)
     sorted_ = np.lexsort((order, owner))
     n = np.diff(rows)
@@ -314,9 +341,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             # rows of one hub follow each other, its own first
             cuts = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                for i in range(x, y):
-                    if is_hub[i]:
-                        hub, tokens = b[i], v[rows[i] : rows[i + 1]]
+                for i in x + np.flatnonzero(is_hub[x:y])[:1]:
+                    hub, tokens = b[i], v[rows[i] : rows[i + 1]]
                 own = np.arange(x, y)[~is_hub[x:y]]
                 if b[x] != hub or not len(own):
                     continue
@@ -385,6 +411,14 @@ def counted_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links")).withColumnRenamed("row", "id")
 
 
+def apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (key, id, ...) to (key, id, label) of the keys whose members are in different components of links."""
+    labels = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")
+    named = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return cut(named.join(mixed, "key"))
+
+
 def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """near_components() with the id of each row's class, the classes (id, size, component), and the texts by row."""
     keyed = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -404,10 +438,18 @@ def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     leaders = weighed.join(most, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
     first = members.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     links = cut(verified(bounded(cut(first), points), texts))
-    labels = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    named = members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_members = cut(named.join(mixed, "key").join(points.select("id", "size", "counts"), "id"), members)
+    for no in range(ROUNDS):
+        open_members = apart(members, links)
+        order = F.xxhash64("key", F.lit(no), "id")
+        chosen = open_members.withColumn("h", order)
+        least = chosen.groupBy("key").agg(F.min("h").alias("h"))
+        hubs = chosen.join(least, ["key", "h"]).groupBy("key").agg(F.min("id").alias("b"), F.min("label").alias("hub_label"))
+        by_id = Window.partitionBy("id").orderBy(F.xxhash64("id", "key", F.lit(no)))
+        some = open_members.withColumn("no", F.row_number().over(by_id)).where(F.col("no") <= ROUND_KEYS)
+        pairs = some.join(hubs, "key").where("label <> hub_label").select(F.col("id").alias("a"), "b").distinct()
+        more = verified(bounded(cut(pairs), points), texts)
+        links = cut(links.unionByName(more).distinct(), links)
+    open_members = cut(apart(members, links).join(points.select("id", "size", "counts"), "id"), members)
     more = cut(verified(tree_pairs(open_members), texts), open_members, points)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(every).withColumnRenamed("node", "id")

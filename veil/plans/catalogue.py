@@ -229,83 +229,6 @@ def offset_to_block(spark, sf_dir):
     return spans.offset_to_block(offsets, spans.blocks_of(d)).select("doc_id", F.col("offset").cast("long").alias("at"), F.col("block").cast("long").alias("block"))
 
 
-# Rewriting and its checks
-
-
-@query()
-def rewrite_documents(spark, sf_dir):
-    d = Engine(CONFIG).rewrite(documents(spark, sf_dir))
-    return d.select("doc_id", "rewritten", F.size("assigned").alias("n_replaced"))
-
-
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
-def rewriting_leaks(spark, sf_dir):
-    # no filter on assigned here: pushed below the projections it would repeat the whole pipeline
-    return verify.leaks(Engine(CONFIG).rewrite(documents(spark, sf_dir))).agg(F.count(F.lit(1)).alias("leaks"))
-
-
-@query("""
-    SELECT doc_id, count(*) AS lines, CAST(0 AS BIGINT) AS moved FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id""")
-def churn(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return audit.churn(d.withColumn("rewritten", F.col("text"))).select("doc_id", F.col("blocks").cast("long").alias("lines"), F.col("changed").cast("long").alias("moved"))
-
-
-@query()
-def audit_scores(spark, sf_dir):
-    return audit.category_score(Engine(CONFIG).rewrite(documents(spark, sf_dir)).select("doc_id", "text", "rewritten"), CONFIG)
-
-
-@query()
-def over_rewriting(spark, sf_dir):
-    return audit.over_rewriting(Engine(CONFIG).rewrite(documents(spark, sf_dir)).select("doc_id", "text", "rewritten"))
-
-
-@query("""
-    SELECT o_orderkey, true AS shaped, true AS luhn, true AS ssn FROM orders""")
-def surrogate_shapes(spark, sf_dir):
-    d = digits16(spark, sf_dir).withColumn("h", surrogates.digest(0, F.col("digits")))
-    spaced = F.regexp_replace("digits", r"(\d{4})(?=\d)", "$1 ")
-    card, ssn = surrogates.fake_card(spaced, F.col("h")), surrogates.fake_ssn(F.lit("123-45-6789"), F.col("h"))
-    shape = lambda c: F.regexp_replace(c, r"\d", "9")
-    return d.select("o_orderkey", (shape(card) == shape(spaced)).alias("shaped"), validators.luhn_valid(digits_of(card)).alias("luhn"), validators.ssn_valid(ssn).alias("ssn"))
-
-
-def candidate_pool(spark, n: int) -> DataFrame:
-    """(pii_type, candidate): n candidates of each type, made from numbers, whose long tokens stand in no others."""
-    i = F.col("id")
-    word = F.translate(F.lpad(i.cast("string"), 9, "0"), "0123456789", "bcdfghjklm")
-    body = F.concat(F.lit("4"), F.lpad(i.cast("string"), 14, "0"))
-    area = i.cast("long") % 665 + 1
-    made = {
-        "ADDRESS": F.format_string("%d %s Rd, Pune 411001", i + 1, F.initcap(word)),
-        "COMPANY": F.concat(F.initcap(word), F.lit(" Ltd")),
-        "CREDIT_CARD": F.concat(body, surrogates.luhn_digit(body)),
-        "DOB": F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), i.cast("int")), "yyyy-MM-dd"),
-        "DOMAIN": F.concat(F.lit("www."), word, F.lit(".org")),
-        "EMAIL": F.concat(word, F.lit("@"), word, F.lit(".org")),
-        "FULL_NAME": F.concat(F.initcap(word), F.lit(" "), F.initcap(word)),
-        "IP_ADDRESS": F.format_string("10.%d.%d.%d", (i / 65536).cast("int"), (i / 256).cast("int") % 256, i % 256),
-        "PHONE": F.format_string("+91 9%09d", i),
-        "SSN": F.format_string("%03d-%02d-%04d", area, (i / 665).cast("long") % 99 + 1, (i / 65835).cast("long") % 9999 + 1),
-    }
-    # dates, addresses of 10.0.0.0/8 and numbers end somewhere; beyond that a type has no candidate
-    ends = {"DOB": 45_000, "IP_ADDRESS": 1 << 24, "SSN": 65_835 * 9_999}
-    rows = F.array(*[F.when(i < ends.get(t, 10**9), F.struct(F.lit(t).alias("pii_type"), c.alias("candidate"))) for t, c in made.items()])
-    return spark.range(n).select(F.explode(rows).alias("x")).where("x is not null").select("x.*")
-
-
-@query("SELECT CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS real")
-def consistency_map(spark, sf_dir):
-    entities = cut(explode_entities(Engine(CONFIG).detect(documents(spark, sf_dir)), "doc_id"))
-    # each real value takes out one candidate of a type at most, and a type has as many keys at most
-    n = entities.select("text").distinct().count()
-    m = cut(mapping.corpus_mapping(entities, CONFIG, candidate_pool(spark, 2 * n + 1)))
-    again = m.groupBy("pii_type", "fake").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
-    real = m.join(entities.select(F.lower("text").alias("low")).distinct(), F.lower("fake") == F.col("low"), "left_semi").agg(F.count(F.lit(1)).alias("real"))
-    return again.crossJoin(real)  # one row each
-
-
 # Model candidates
 
 
@@ -366,4 +289,4 @@ def fingerprint(spark, sf_dir):
 
 
 # Queries of the other modules register themselves
-from . import catalogue_text  # noqa: E402, F401
+from . import catalogue_checks, catalogue_sources, catalogue_text, catalogue_values  # noqa: E402, F401
