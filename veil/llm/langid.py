@@ -7,10 +7,16 @@ word's script are out.  Viterbi over the words of a text, with a penalty for eac
 labels spans of mixed-language texts; the text's language is the one with most letters'
 words on the best path, and the score is its share of them.
 
+The model is BUCKETS counts a language, collected on the driver and sent to every task; the
+words of a text are handled at once, a score for each language.  Texts of more than two
+blocks are cut into blocks, so no step runs once a word.
+
 Defined results: a text that is null or has no letter is "und" with score 0; with nothing
 to learn from every text is; equal shares go to the language that is first by code point;
-repeated rows count each; rows without lang or text teach nothing; other columns are
-ignored; a very long text is handled alone, with memory in proportion to its words.
+repeated rows count each and get a row each; rows without an id are judged as any other and
+are not held out; rows without lang or text teach nothing; other columns are ignored; an
+empty table gives no rows; a very long text is handled alone, with memory in proportion to
+its words.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from . import bytekit
 BUCKETS = 1 << 15
 #: Cost of a change of language between neighbouring words, in nats.
 SWITCH = 12.0
-#: Languages that a model holds at most; the model is collected, BUCKETS counts for each.
-MOST_LANGUAGES = 256
+#: Words of a block that a very long text is cut into, and the languages up to which that pays.
+BLOCK, FEW = 4096, 32
 #: A language is a candidate for a script if at least this share of its words use it.
 SCRIPT_SHARE = 0.01
 OUT = -40.0
@@ -83,6 +89,19 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+LETTERS = bytekit._table((0x41, 0x5A), (0x61, 0x7A))
+
+
+def with_letters(column: pa.Array) -> np.ndarray:
+    """has_letter() of each row; only rows without an ASCII letter are decoded."""
+    data, offsets = bytekit.text_bytes(column)
+    some = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets]) > 0
+    out = some(LETTERS[data])
+    for i in np.flatnonzero(~out & some(data >= 0x80)):
+        out[i] = has_letter(column[int(i)].as_py())
+    return out
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(lang, kind, slot, n): trigram counts (kind 0) and words by script (kind 1) of labelled texts."""
 
@@ -135,43 +154,88 @@ class Model:
         return out
 
 
-def viterbi(emit: np.ndarray, rows: np.ndarray, switch: float) -> np.ndarray:
-    """The best path's label of each word, all rows at once, the longest first."""
-    n = np.diff(rows)
+def sweep(emit: np.ndarray, first: np.ndarray, n: np.ndarray, switch: float, enter: np.ndarray | None = None, back: tuple | None = None) -> np.ndarray:
+    """(runs, L) best scores of a path over each run of n words that ends in a language; all runs at once.
+
+    enter: the language of the word before a run, -1 for none.  back: arrays (stay, best) that
+    get, for each word, which languages stay and which is best before it.
+    """
     order = np.argsort(-n, kind="stable")
-    longest = int(n.max(initial=0))
-    path = np.zeros(len(emit), np.int16)
-    if not longest:
-        return path
-    first = rows[:-1][order]
+    starts, longest, every = first[order], int(n.max(initial=0)), np.arange(emit.shape[1])
     active = np.searchsorted(-n[order], -np.arange(longest), "left")
-    stay = np.zeros(emit.shape, bool)
-    best = np.zeros(len(emit), np.int16)
-    v = np.zeros((len(n), emit.shape[1]), np.float32)
-    final = np.zeros(len(n), np.int16)
+    v, base = np.zeros((len(n), emit.shape[1]), np.float32), np.zeros(len(n))
+    if enter is not None:
+        e = enter[order][:, None]
+        v = np.where((e < 0) | (every == e), 0, -switch).astype(np.float32)
     for t in range(longest):
         m = active[t]
-        at = first[:m] + t
+        at = starts[:m] + t
         if t:
             top = v[:m].argmax(1)
             most = v[np.arange(m), top][:, None] - switch
             kept = v[:m] >= most
-            stay[at], best[at] = kept, top
+            if back:
+                back[0][at], back[1][at] = kept, top
             v[:m] = np.where(kept, v[:m], most) - most
+            base[:m] += most[:, 0]
         v[:m] += emit[at]
-        if t + 1 == longest or active[t + 1] < m:
-            done = slice(active[t + 1] if t + 1 < longest else 0, m)
-            final[done] = v[done].argmax(1)
-    state = final.astype(np.int64)
+    out = np.empty((len(n), emit.shape[1]))
+    out[order] = v + base[:, None]
+    return out
+
+
+def decoded(emit: np.ndarray, first: np.ndarray, n: np.ndarray, switch: float, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """The best path's label of each word of the runs; leave: the last word's language, -1 for the best."""
+    back = (np.zeros(emit.shape, bool), np.zeros(len(emit), np.int16))
+    v = sweep(emit, first, n, switch, enter, back)
+    state = np.where(leave >= 0, leave, v.argmax(1))
+    path = np.zeros(len(emit), np.int16)
+    order = np.argsort(-n, kind="stable")
+    starts, state, longest = first[order], state[order].astype(np.int64), int(n.max(initial=0))
+    active = np.searchsorted(-n[order], -np.arange(longest), "left")
     for t in range(longest - 1, -1, -1):
         m = active[t]
-        at = first[:m] + t
+        at = starts[:m] + t
         path[at] = state[:m]
         if t:
-            state[:m] = np.where(stay[at, state[:m]], state[:m], best[at])
+            state[:m] = np.where(back[0][at, state[:m]], state[:m], back[1][at])
     return path
 
 
+def viterbi(emit: np.ndarray, rows: np.ndarray, switch: float, block: int = BLOCK) -> np.ndarray:
+    """The best path's label of each word, all rows at once.
+
+    A very long row is cut into blocks.  What each block adds between any two languages is
+    found for all blocks at once; these sums, block by block, give the languages at the cuts.
+    """
+    n, first = np.diff(rows), rows[:-1]
+    few = emit.shape[1]
+    long = np.flatnonzero(n > 2 * block) if few <= FEW else np.zeros(0, np.int64)
+    short = np.setdiff1d(np.flatnonzero(n > 0), long)
+    starts, sizes, enter, leave = [first[short]], [n[short]], [np.full(len(short), -1)], [np.full(len(short), -1)]
+    for row in long:
+        at = np.arange(0, n[row], block)
+        size = np.minimum(block, n[row] - at)
+        at = at + first[row]
+        through = sweep(emit, np.repeat(at[1:], few), np.repeat(size[1:], few), switch, np.tile(np.arange(few), len(at) - 1)).reshape(-1, few, few)
+        score = sweep(emit, at[:1], size[:1], switch)[0]
+        came = np.zeros((len(at), few), np.int64)
+        for i, t in enumerate(through, 1):
+            both = score[:, None] + t
+            came[i] = both.argmax(0)
+            score = both.max(0)
+            score -= score.max()
+        into, out = np.full(len(at), -1), np.empty(len(at), np.int64)
+        out[-1] = score.argmax()
+        for i in range(len(at) - 1, 0, -1):
+            into[i] = out[i - 1] = came[i][out[i]]
+        for held, x in ((starts, at), (sizes, size), (enter, into), (leave, out)):
+            held.append(x)
+    if not len(emit):
+        return np.zeros(0, np.int16)
+    return decoded(emit, np.concatenate(starts), np.concatenate(sizes), switch, np.concatenate(enter), np.concatenate(leave))
+
+
 def labelled(batch: pa.RecordBatch, model: Model | None, switch: float) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language and score of each row; the path of all words, and the rows' offsets in it."""
     k = batch.num_rows
@@ -185,20 +249,24 @@ def labelled(batch: pa.RecordBatch, model: Model | None, switch: float) -> tuple
     owner = bytekit.row_of(w.rows)
     votes = np.bincount(owner[letters] * len(model.langs) + path[letters], minlength=k * len(model.langs)).reshape(k, -1)
     top, total = votes.argmax(1), votes.sum(1)
-    for i in range(k):
-        # bytes tell scripts, characters tell letters; a letter of no listed script leaves the first language at score 0
-        if has_letter(texts[i].as_py()):
-            lang[i] = model.langs[top[i]]
-            score[i] = votes[i, top[i]] / max(1, total[i])
+    # bytes tell scripts, characters tell letters; a letter of no listed script leaves the first language at score 0
+    for i in np.flatnonzero(with_letters(texts)).tolist():
+        lang[i] = model.langs[top[i]]
+        score[i] = votes[i, top[i]] / max(1, total[i])
     return lang, score, path, w.rows
 
 
+def slice_size(model: Model | None) -> int:
+    """Bytes of text handled at once: a word has a score for each language."""
+    return max(1 << 14, bytekit.SLICE * 8 // max(8, len(model.langs) if model else 0))
+
+
 def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """docs (doc_id, text) to (doc_id, lang_pred, score), and spans of words by language if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytekit.slices(batches):
+        for batch in bytekit.slices(batches, size=slice_size(shared.value)):
             lang, score, path, rows = labelled(batch, shared.value, switch)
             cols = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)]
             if spans:
@@ -223,8 +291,6 @@ def learn(docs: DataFrame) -> Model | None:
     langs = sorted(set(rows.column("lang").to_pylist()))
     if not langs:
         return None
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; a model holds {MOST_LANGUAGES}")
     number = {x: i for i, x in enumerate(langs)}
     which = np.array([number[x] for x in rows.column("lang").to_pylist()])
     kind, slot, n = (rows.column(c).to_numpy() for c in ("kind", "slot", "n"))
@@ -246,7 +312,7 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float, switch:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytekit.slices(batches):
+        for batch in bytekit.slices(batches, size=slice_size(shared.value)):
             yield batch.filter(pa.array([x >= least for x in labelled(batch, shared.value, switch)[1]], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,15 +5,17 @@ sigmoid(bias + sum of its words' weights), the text 1 - prod(1 - sentence score)
 or).  Weights and bias are trained by gradient descent on that likelihood.  Candidate
 words come from counts over all labelled texts: those whose share of toxic texts is
 significantly above the rest, all of them, however many; the driver and each task hold 16
-bytes a word.  The fit then uses at most FIT_ROWS labelled texts, those with the least hash
-of their id, which bounds its rows; words that are no candidates have weight 0, so a text
+bytes a word.  The fit then uses at most FIT_ROWS labelled texts of FIT_BYTES, those with the
+least hash of their id, which bounds what the driver collects; words that are no candidates have weight 0, so a text
 is fitted by its candidate words and its sentences' number alone.  A candidate in none of
 these texts has the weight at which a sentence of it alone scores its share of toxic texts.
 
 Defined results: null and empty texts have one empty sentence; a text that is labelled
 twice counts with its highest label; without labels of both kinds every text scores the
-base rate; repeated rows get a row each; other columns are ignored; an empty table gives
-no rows; a very long text is handled alone.
+base rate; repeated rows get a row each; a row without an id has no label, is not held out
+and is scored as any other; candidate words that are equally good all stay; other columns
+are ignored; an empty table gives no rows; a very long text is handled alone, with memory in
+proportion to its words.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from . import bytekit
 from .common import cut, small
 from .langid import held_out
 
-#: Labelled texts that the fit takes at most.
-FIT_ROWS = 20_000
+#: Labelled texts that the fit takes at most, and their bytes on average of the draw.
+FIT_ROWS, FIT_BYTES = 20_000, 256 << 20
 #: Texts in which a candidate word stands at least, and its least z-score.
 LEAST_TEXTS, LEAST_Z = 4, 4.0
 #: Bytes of a broadcast label, with what a hash table adds.
@@ -83,11 +85,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return d.groupBy("word").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
 
 
-def candidates(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Sorted hashes of all candidate words, their logits of the share of toxic texts, that share over all texts, and the number of texts."""
-    n, t = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
+def candidates(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Sorted hashes of all candidate words, their logits of the share of toxic texts, that share over all texts, and the share of texts for the fit."""
+    n, t, size = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long")), F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()
     if not n or not t or t == n:
-        return np.zeros(0, np.uint64), np.zeros(0), (t or 0) / n if n else 0.0, n
+        return np.zeros(0, np.uint64), np.zeros(0), (t or 0) / n if n else 0.0, 1.0
     rate = t / n
     both = F.col("plain") + F.col("toxic")
     z = (F.col("toxic") - both * rate) / F.sqrt(both * (rate * (1 - rate)))
@@ -96,7 +98,7 @@ def candidates(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int]:
     found = d.select("word", F.log((F.col("toxic") + 0.5) / (F.col("plain") + 0.5)).alias("logit")).toArrow()
     words = found.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    return words[order], found.column("logit").to_numpy()[order], rate, n
+    return words[order], found.column("logit").to_numpy()[order], rate, min(1.0, 0.95 * FIT_ROWS / n, 0.95 * FIT_BYTES / max(1, size))
 
 
 def bags(rows: DataFrame, words: np.ndarray) -> DataFrame:
@@ -166,12 +168,12 @@ def fit(y: np.ndarray, of_text: np.ndarray, empty: np.ndarray, sentence: np.ndar
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = labelled(docs, labels)
-    words, logits, rate, total = candidates(rows)
+    words, logits, rate, share = candidates(rows)
     if not len(words):
         return Model(words, np.zeros(0), -30.0, rate)
     # the hash is uniform, so a threshold leaves FIT_ROWS texts at most (19,000 are expected of 20,000)
     scale = 1 << 40
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(min(1.0, 0.95 * FIT_ROWS / total) * scale))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(share * scale))
     t = bags(some, words).toArrow()
     y = t.column("toxic").to_numpy()
     at, item = t.column("at").combine_chunks(), t.column("item").combine_chunks()
@@ -209,7 +211,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 pair = np.unique(s.sentence[at].astype(np.int64) * len(m.words) + item)
                 z = m.bias + np.bincount(pair // len(m.words), m.weights[pair % len(m.words)], minlength=len(s.starts))
                 owner = bytekit.row_of(s.of_rows)
-                total = np.bincount(owner, np.logaddexp(0, z), minlength=k)
+                total = np.bincount(owner, np.logaddexp(0, z), minlength=k).astype(float)
                 total[np.diff(s.of_rows) == 0] = np.logaddexp(0, m.bias)
                 p = 1 - np.exp(-total)
                 for i in np.flatnonzero(z >= 0) if spans else []:
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted)."""
-    d = score(docs, learn(docs, labels))
+    """(doc_id, held_out, score, predicted, sentences): the last are the offending ones."""
+    d = score(docs, learn(docs, labels), spans=True)
     out = F.coalesce(held_out(F.col("doc_id"), 5, 0), F.lit(False))
-    return d.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return d.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
