@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, license_scan, mixing, ngram_join, quality, suffix_dedup, token_files, toxicity
 from .common import prepare, read
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
