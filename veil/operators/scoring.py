@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.lexicon import PII_TYPES
-from veil.functions.text import cut_out
+from veil.functions.text import cut_out, strings
 
 
 def fingerprint(version: Column, text: Column) -> Column:
@@ -68,7 +68,7 @@ def score(matches: DataFrame) -> DataFrame:
     spark = matches.sparkSession
     d = matches.select(charged.alias("pii_type"), "outcome")
     # every type has a row, seen or not
-    d = d.unionByName(spark.createDataFrame([(t, "none") for t in PII_TYPES], "pii_type string, outcome string"))
+    d = d.unionByName(spark.range(1).select(F.explode(strings(PII_TYPES)).alias("pii_type"), F.lit("none").alias("outcome")))
     d = d.rollup("pii_type").agg(n("tp"), n("fp"), n("fn"), n("type_confusion"))
     return rates(d)
 

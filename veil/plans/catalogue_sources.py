@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.text import spans
 from veil.operators import scoring
 from veil.operators.rules import Config
 from veil.sources import corpora as C
@@ -69,9 +70,8 @@ def package_parts(spark, sf_dir):
 def package_edits(spark, sf_dir):
     """Every `the` of every package replaced in its runs; read back with the fields that name people and the link."""
     d = docx.opened(packages(spark, sf_dir))
-    hits = F.split("text", "the", -1)
-    place = F.transform(F.sequence(F.lit(1), F.size(hits) - 1), lambda i: (F.length(F.array_join(F.slice(hits, F.lit(1), i), "the"))).cast("int"))
-    edits = F.when(F.size(hits) > 1, F.transform(place, lambda s: F.struct(s.alias("start"), (s + 3).alias("end"), F.lit("the").alias("text"), F.lit("<THE>").alias("replacement")))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,replacement:string>>"))
+    found = spans(F.coalesce("text", F.lit("")), "the")
+    edits = F.transform(found, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"), F.lit("<THE>").alias("replacement")))
     new = cut(docx.saved(d.withColumn("assigned", edits)))
     parts = docx.part_rows(new)
     said = parts.groupBy("doc_id").agg(
