@@ -85,3 +85,15 @@ def test_an_audit_report(spark):
     assert code == 1 and "Email addresses           1 of      1 removed (100.0 %)" in said and "not clean" in said
     said, code = reports.audit_text(audit.category_score(pairs.where("doc_id = 1"), CONFIG), audit.over_rewriting(pairs), audit.totals(pairs.where("doc_id = 1"), CONFIG, parts=parts))
     assert code == 0
+
+
+def test_a_model_below_the_threshold_gives_nothing_and_chunks_keep_offsets(spark):
+    from veil.operators import model
+
+    text = "x" * 30 + "\n" + "Then Asha Menon came\n" * 3
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert model.raw_spans(d, TITLE_CASE, threshold=1.5).collect() == []
+    found = model.raw_spans(d, TITLE_CASE, most=25).collect()
+    assert len(found) == 3 and all(text[r["start"] : r["end"]] == "Then Asha Menon" for r in found)
+    with pytest.raises(model.ModelUnavailable):
+        model.raw_spans(d, "none_such")

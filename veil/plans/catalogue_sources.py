@@ -93,7 +93,7 @@ def run_splices(spark, sf_dir):
         for batch in batches:
             out = []
             for _, text, size, a, b, new, _ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out.append("|".join(docx.spliced([text[i : i + size] for i in range(0, len(text), size)], a, b, new)))
+                out.append("|".join(docx.spliced([text[i : i + size] for i in range(0, len(text), size)], [(a, b, new)])))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["doc_id", "said"])
 
     return d.mapInArrow(run, "doc_id long, said string")

@@ -20,8 +20,10 @@ import io
 import os
 import re
 import zipfile
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from xml.dom import minidom
 from xml.parsers.expat import ExpatError
 
@@ -79,23 +81,25 @@ def set_run_text(run: minidom.Element, text: str) -> None:
             run.appendChild(t)
 
 
-def spliced(texts: list[str], start: int, end: int, new: str) -> list[str]:
-    """Texts of runs with [start, end) of their concatenation replaced.
+def spliced(texts: list[str], edits: list[tuple[int, int, str]]) -> list[str]:
+    """Texts of runs with spans (start, end, new) of their concatenation replaced, all at once.
 
-    The first run that is touched takes the replacement, those inside become empty, the last
-    keeps what follows.
+    The first run that a span touches takes the replacement, those inside become empty, the
+    last keeps what follows.  Going from the last span to the first, places before a span
+    stay where they were.
     """
-    if not 0 <= start < end <= sum(map(len, texts)):
-        raise PackageError(f"span {start}:{end} is outside its paragraph")
-    out, at, said = [], 0, False
-    for t in texts:
-        a, b = max(start - at, 0), min(end - at, len(t))
-        at += len(t)
-        if a < b:
-            out.append(t[:a] + ("" if said else new) + t[b:])
-            said = True
-        else:
-            out.append(t)
+    starts = [0, *accumulate(map(len, texts))]
+    out = list(texts)
+    for start, end, new in sorted(edits, reverse=True):
+        if not 0 <= start < end <= starts[-1]:
+            raise PackageError(f"span {start}:{end} is outside its paragraph")
+        first = bisect_right(starts, start) - 1
+        run = first
+        while starts[run] < end:
+            a, b = max(start - starts[run], 0), min(end, starts[run + 1]) - starts[run]
+            if a < b:
+                out[run] = out[run][:a] + (new if run == first else "") + out[run][b:]
+            run += 1
     return out
 
 
@@ -117,15 +121,16 @@ class Block:
     def text(self) -> str:
         return "".join(self.texts)
 
-    def replace(self, start: int, end: int, new: str) -> None:
-        texts = spliced(self.texts, start, end, new)
+    def replace(self, edits: list[tuple[int, int, str]]) -> None:
+        before = self.texts
+        texts = spliced(before, edits)
         if self.kind == "instr":
             node = self.runs[0]
             while node.firstChild:
                 node.removeChild(node.firstChild)
             node.appendChild(node.ownerDocument.createTextNode(UNWRITABLE.sub("", texts[0])))
             return
-        for run, old, now in zip(self.runs, self.texts, texts, strict=True):
+        for run, old, now in zip(self.runs, before, texts, strict=True):
             if old != now:
                 set_run_text(run, now)
 
@@ -257,17 +262,18 @@ def rewritten(content: bytes, edits: list[dict]) -> bytes:
     for a, b in zip(edits, edits[1:], strict=False):
         if b["start"] < a["end"]:
             raise PackageError(f"overlapping spans at {a['start']}:{a['end']} and {b['start']}:{b['end']}")
-    touched, n = set(), len(spans) - 1
-    for e in reversed(edits):
+    by_block: dict[int, list[tuple[int, int, str]]] = {}
+    begins = [x["start"] for x in spans]
+    for e in edits:
         if e["replacement"] is None or text[e["start"] : e["end"]] != e["text"]:
             raise PackageError(f"span {e['start']}:{e['end']} has no replacement or another text")
-        while n >= 0 and spans[n]["start"] > e["start"]:
-            n -= 1
+        n = bisect_right(begins, e["start"]) - 1
         if n < 0 or e["end"] > spans[n]["end"]:
             raise PackageError(f"span {e['start']}:{e['end']} is not inside one block")
-        blocks[n].replace(e["start"] - spans[n]["start"], e["end"] - spans[n]["start"], e["replacement"])
-        touched.add(blocks[n].part)
-    for part in touched:
+        by_block.setdefault(n, []).append((e["start"] - begins[n], e["end"] - begins[n], e["replacement"]))
+    for n, found in by_block.items():
+        blocks[n].replace(found)
+    for part in {blocks[n].part for n in by_block}:
         p.members[part] = p.stories[part].toxml("utf-8")
     p.blank_people()
     p.rewrite_targets([(e["text"], e["replacement"]) for e in edits])
