@@ -104,7 +104,11 @@ def test_empty_tables(spark, empty, name):
     assert [r[0] for r in rows] == ([-7] if name == "op6_chat_format" else [])
 
 
-@pytest.mark.parametrize("name", sorted(entries.queries()))
-def test_repeated_rows_and_null_ids(spark, tmp_path, name):
-    path = written(spark, str(tmp_path), [*ROWS[:8], ROWS[5], (None, "no id here", "en", "web", 9)])
-    assert entries.queries()[name](spark, path).collect() is not None
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    """What is one place or one conversation; test_methods has the queries that give a row for every row."""
+    path = written(spark, str(tmp_path), [*ROWS[:8], ROWS[7], (None, f"no id here {SHARED}", "en", "web", 9)])
+    got = sorted((r["doc_id"] or 0, r["n_dup_words"], r["longest"]) for r in entries.queries()["op4_suffix_dedup"](spark, path).collect())
+    assert got == [(0, 60, 60), (9, 60, 60), (9, 60, 60)]
+    path = written(spark, str(tmp_path / "b"), [*ROWS[:8], ROWS[7]])
+    assert entries.queries()["op4_suffix_dedup"](spark, path).collect() == []
+    assert {r["conv_id"]: r["n_turns"] for r in entries.queries()["op6_chat_format"](spark, path).collect()} == {1: 3, None: 1, 2: 1, -7: 2}

@@ -154,6 +154,14 @@ def row_hash(*values):
     return h
 
 
+def key_of(i, text, weight):
+    """The exponential key of a row, from the hash of its id and text."""
+    lot = row_hash(i, text)
+    lot = lot - (1 << 64) if lot >> 63 else lot
+    bits = xxhash.xxh64(struct.pack("<i", 7), seed=xxhash.xxh64(struct.pack("<q", lot), seed=42).intdigest()).intdigest() >> 11
+    return -math.log((bits + 0.5) / 2.0**53) / weight
+
+
 def test_taken_words_against_a_plain_version(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
     docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
@@ -161,10 +169,7 @@ def test_taken_words_against_a_plain_version(spark, sf_dir, monkeypatch):
     got = {r["doc_id"]: r for r in entries.queries()["op3_mixing"](spark, sf_dir).collect()}
     by_source = defaultdict(list)
     for d in docs:
-        lot = row_hash(d["doc_id"], d["text"])
-        lot = lot - (1 << 64) if lot >> 63 else lot
-        bits = xxhash.xxh64(struct.pack("<i", 7), seed=xxhash.xxh64(struct.pack("<q", lot), seed=42).intdigest()).intdigest() >> 11
-        by_source[d["source"]].append((-math.log((bits + 0.5) / 2.0**53) / good.get(d["doc_id"], 1.0), d["doc_id"], len(SPACE.findall(d["text"] or ""))))
+        by_source[d["source"]].append((key_of(d["doc_id"], d["text"], good.get(d["doc_id"], 1.0)), d["doc_id"], len(SPACE.findall(d["text"] or ""))))
     for rows in by_source.values():
         rows.sort()
         size, target, before = sum(n for *_, n in rows), got[rows[0][1]]["target"], 0

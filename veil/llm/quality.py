@@ -8,8 +8,10 @@ stands elsewhere too.  A text fails if repeats of MIN_REPEAT words or more cover
 part of it, or if one repeat is too long.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows
-get a row each; other columns are ignored; a very long text is handled alone, with memory
-in proportion to its words; an empty table gives no rows.
+get a row each, and rows without an id or with that of others are judged by their own text;
+repeats that are equally long all count; other columns are ignored; an empty table gives no
+rows; a very long text is handled alone, with 8 bytes a word for each doubling up to its
+longest repeat, and some 100 besides.
 """
 
 from __future__ import annotations
