@@ -53,14 +53,19 @@ def _forget(spark: SparkSession, root: str) -> None:
         remove(spark, root)
 
 
-def shared_path(spark: SparkSession, kind: str) -> str:
-    return f"{_scopes[-1] if _scopes else _root(spark)}/{kind}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, kind: str, keep: bool = False) -> str:
+    """A new path below the folder in use; with keep, below the one around it."""
+    scopes = _scopes[:-1] if keep else _scopes
+    return f"{scopes[-1] if scopes else _root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
-    """Write df as Parquet, read it back, and delete the tables of done, which only df needed."""
+def cut(df: DataFrame, *done: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df as Parquet, read it back, and delete the tables of done, which only df needed.
+
+    With keep, the table outlives the scratch() around it.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, "cut")
+    path = shared_path(spark, "cut", keep)
     df.write.parquet(path)
     release(*done)
     out = spark.read.schema(df.schema).parquet(path)
