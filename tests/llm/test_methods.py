@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tests.llm.test_contracts import LOWER, SPACE, names
 
-from veil.llm import common, decontam, entries, grams, langid, license_scan, mixing, ngram_join, quality, suffix_dedup, token_files, toxicity
+from veil.llm import common, decontam, entries, grams, langid, license_scan, ngram_join, quality, suffix_dedup, token_files, toxicity
 
 
 def docs_of(spark, rows):
@@ -162,8 +162,7 @@ def key_of(i, text, weight):
     return -math.log((bits + 0.5) / 2.0**53) / weight
 
 
-def test_taken_words_against_a_plain_version(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+def test_taken_words_against_a_plain_version(spark, sf_dir):
     docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     good = {r["doc_id"]: 2.0 if r["quality"] > 0 else 0.5 for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null").collect()}
     got = {r["doc_id"]: r for r in entries.queries()["op3_mixing"](spark, sf_dir).collect()}
@@ -395,3 +394,11 @@ def test_row_keys(spark):
     d = spark.createDataFrame([(1, None), (None, "1"), (None, None), (1, "x"), (1, "x")], "doc_id long, text string")
     assert d.select(common.row_key("doc_id", "text").alias("k")).distinct().count() == 4
     assert grams.ROW_BYTES > 0
+
+
+def test_scripts_of_words():
+    import pyarrow as pa
+
+    got = langid.Words(pa.array(["abc été Việt Ờ ἀλφα αβγ កខ ไทย 日本 12"])).scripts
+    latin, greek, southeast, indic, han = (1 + [x for x, _, _ in langid.SCRIPTS].index(n) for n in ("Latin", "Greek", "Southeast", "Indic", "Han"))
+    assert got.tolist() == [latin, latin, latin, latin, greek, greek, southeast, indic, han, 0]

@@ -82,7 +82,13 @@ class Words:
         h = (before * np.uint32(0x9E3779B1) ^ clean * np.uint32(0x85EBCA77)) + after * np.uint32(0xC2B2AE3D)
         h ^= h >> np.uint32(15)
         self.buckets = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 15)
-        self.scripts = np.maximum.reduceat(SCRIPT_OF[data], self.starts) if len(self.starts) else np.zeros(0, np.uint8)
+        script = SCRIPT_OF[data]
+        # Latin and Greek letters with marks share a lead byte with scripts of the southeast
+        wide = np.flatnonzero(data[:-1] == 0xE1)
+        second = data[wide + 1]
+        script[wide[(second >= 0xB8) & (second <= 0xBB)]] = 1
+        script[wide[second >= 0xBC]] = 2
+        self.scripts = np.maximum.reduceat(script, self.starts) if len(self.starts) else np.zeros(0, np.uint8)
 
 
 def has_letter(text: str | None) -> bool:

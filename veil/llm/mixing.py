@@ -18,15 +18,13 @@ the buckets are added up per source, and each bucket continues from its predeces
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, cut, row_key
 
-#: Rows of a bucket of keys, about.
-BUCKET_ROWS = 20_000
-
 
 def word_count(text: Column) -> Column:
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPACE_WORD), F.lit(0))
@@ -83,8 +81,8 @@ def mix(
     key = exponential_key(F.col("lot"), weight, seed)
     own = ["row"] if "row" in rows.columns else []
     rows = cut(rows.select("id", "source", "size", "lot", *own, key.alias("key")))
-    # the result does not depend on the number of buckets
-    buckets = max(1, rows.count() // BUCKET_ROWS)
+    # as many buckets as a bucket has rows, so neither grows with all rows; the result does not depend on it
+    buckets = max(1, isqrt(rows.count()))
     # 1 - exp(-key) is uniform for weight 1 and monotone for all
     bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
     rows = rows.withColumn("bucket", bucket)
