@@ -1,11 +1,14 @@
 """DuckDB SQL for the queries whose whole result SQL can say.
 
 The others have a plain version in the tests: tokens need the tokenizer (op2), draws the
-hash (op3), repeats the longest common prefixes (op5), and models are learned (op8, op10).
+hash (op3), and models are learned (op8, op10).
 """
 
 from __future__ import annotations
 
+from .license_scan import COVER, NOTICES, PHRASES, SLACK
+from .quality import MAX_COVERED, MAX_REPEAT, MIN_REPEAT
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 NAME = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -65,4 +68,44 @@ q AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a), n AS (SEL
 SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(q.component_id, d.doc_id) AS component_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c ON z.sig = c.sig LEFT JOIN q ON q.class_id = c.class_id LEFT JOIN n ON n.class_id = c.class_id"""
 
-ORACLES = {"op1_decontamination": OP1, "op4_suffix_dedup": OP4, "op6_chat_format": OP6, "op7_ngram_join": OP7}
+_TEMPLATES = ", ".join(f"({i}, '{k}', {str(b).lower()}, '{t}')" for i, (t, k, b) in enumerate([(t, k, True) for t, k in PHRASES] + [(t, k, False) for t, k in NOTICES]))
+_NONE = "list_transform(range(0, n), lambda z: CAST(0 AS BIGINT))"
+_BEST = "CASE WHEN x.pos = a.pos THEN a.best ELSE a.now END"
+OP9 = f"""
+WITH t AS (SELECT i AS template, label, base, string_split(said, ' ') AS w FROM (VALUES {_TEMPLATES}) v(i, label, base, said)),
+u AS (SELECT *, unnest(range(0, len(w) - 2)) AS k FROM t), g AS (SELECT template, label, base, len(w) - 2 AS n, k, array_to_string(w[k + 1:k + 3], ' ') AS said FROM u),
+d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {NAME}) AS w FROM documents), q AS (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS pos FROM d WHERE len(w) > 2),
+v AS (SELECT doc_id, template, label, base, n, pos, k FROM (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + 3], ' ') AS said FROM q) JOIN g USING (said)),
+y AS (SELECT DISTINCT doc_id, template, base, pos - k AS diag FROM v),
+o AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag), {SLACK + 1}) > {SLACK} THEN 1 ELSE 0 END AS opens FROM y),
+r AS (SELECT doc_id, template, diag, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diag) AS run FROM o),
+l AS (SELECT v.doc_id, v.template, label, base, n, run, list({{'pos': pos, 'k': k}} ORDER BY pos, k) AS xs FROM v JOIN r ON v.doc_id = r.doc_id AND v.template = r.template AND v.pos - v.k = r.diag GROUP BY ALL),
+c AS (SELECT doc_id, label, base, n, xs[1].pos AS first_pos, list_max(list_reduce(list_concat([{{'pos': CAST(-1 AS BIGINT), 'k': CAST(-1 AS BIGINT), 'best': {_NONE}, 'now': {_NONE}}}], list_transform(xs, lambda x: {{'pos': x.pos, 'k': x.k, 'best': {_NONE}, 'now': {_NONE}}})),
+  lambda a, x: {{'pos': x.pos, 'k': x.k, 'best': {_BEST}, 'now': list_transform(a.now, lambda z, i: CASE WHEN i = x.k + 1 THEN greatest(z, 1 + coalesce(list_max(({_BEST})[1:x.k]), 0)) ELSE z END)}}).now) / n AS covered FROM l),
+s AS (SELECT * FROM c WHERE covered >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
+f AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first_pos) FILTER (base) AS first_word, max(first_pos) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS own, list_sort(list(DISTINCT label)) AS every, max(covered) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(own, ','), '') AS base_labels, coalesce(array_to_string(every, ','), '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN f USING (doc_id)"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {SPACE}) AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+one AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id, w[i]) GROUP BY doc_id),
+two AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) AS n FROM x WHERE i < len(w) GROUP BY doc_id, w[i], w[i + 1]) GROUP BY doc_id),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS said FROM x WHERE i + 2 <= len(w)),
+p AS (SELECT a.doc_id, a.i, b.i - a.i AS diag FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.said = b.said AND a.i < b.i),
+n AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, diag ORDER BY i) AS no FROM p),
+r AS (SELECT doc_id, diag, min(i) AS s, count(*) + 2 AS size FROM n GROUP BY doc_id, diag, no),
+e AS (SELECT doc_id, s, size FROM r UNION SELECT doc_id, s + diag, size FROM r),
+c AS (SELECT doc_id, count(DISTINCT pos) AS again, count(DISTINCT pos) FILTER (size >= {MIN_REPEAT}) AS covered FROM (SELECT doc_id, size, unnest(range(s, s + size)) AS pos FROM e) GROUP BY doc_id),
+m AS (SELECT doc_id, max(size) AS longest FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+k AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dups FROM l WHERE regexp_matches(line, {SPACE}) GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(covered, 0) AS BIGINT) AS n_covered,
+  CAST(coalesce(longest, CASE WHEN two.n > 1 THEN 2 WHEN one.n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS longest_repeat
+  FROM d LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN one USING (doc_id) LEFT JOIN two USING (doc_id)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_covered <= {MAX_COVERED} * n_words AND longest_repeat <= {MAX_REPEAT} AS kept FROM g"""
+
+ORACLES = {"op5_quality_rules": OP5, "op9_license_scan": OP9, "op1_decontamination": OP1, "op4_suffix_dedup": OP4, "op6_chat_format": OP6, "op7_ngram_join": OP7}
