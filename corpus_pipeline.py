@@ -58,7 +58,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     prepare(spark)
     key = ngram_join.KEY
-    hit = cut(decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("row").alias(key)).distinct())
+    with scratch(spark):
+        hit = cut(decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("row").alias(key)).distinct(), keep=True)
     return docs.withColumn(key, row_key("doc_id", "text")).join(small(hit, KEY_BYTES), key, "left_anti").select(*docs.columns)
 
 
@@ -70,12 +71,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id, then size; an empty table stays empty; all columns stay, of any name.
     """
     prepare(spark)
-    row, copies_ = "_veil_row", "_veil_copies"
-    # written with the numbers, as they need not be the same when made again
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    mixed = mixing.mix_documents(rows, read(spark, sf_dir, "labels"), row=row).where("taken > 0")
-    copies = cut(mixed.select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(copies_)))
-    d = rows.join(small(copies, KEY_BYTES), row)
+    key, copies_ = ngram_join.KEY, "_veil_copies"
+    keyed = docs.withColumn(key, row_key("doc_id", "text", "source"))
+    with scratch(spark):
+        mixed = mixing.mix_documents(keyed, read(spark, sf_dir, "labels"), row=key).where("taken > 0")
+        each = mixed.groupBy(F.col("row").alias(key)).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).cast("int").alias(copies_), F.count(F.lit(1)).alias("_veil_n"))
+        copies = cut(each, keep=True)
+    n = copies.count()
+    # rows that are alike are repeated all from one of them
+    once, alike = copies.where("_veil_n = 1"), copies.where("_veil_n > 1")
+    d = keyed.join(small(once, KEY_BYTES, n), key).drop("_veil_n")
+    if alike.count():
+        d = d.unionByName(keyed.join(small(alike, KEY_BYTES, n), key).dropDuplicates([key]).drop("_veil_n"))
     return d.withColumn(copies_, F.explode(F.sequence(F.lit(1), F.col(copies_)))).select(*docs.columns)
 
 
