@@ -12,12 +12,13 @@ the order used puts rare tokens first, by counts of all tokens of all documents
 hashed counters, so that a passage in very many documents is in the prefix of those alone
 that hold little else.  No linked pair is missed.
 
-The members of a token are joined first against the most central one, then, where they are
-still in different components, in ROUNDS against a member that a hash chooses, by a few of
-their tokens, and at last by the tree between all members of different components.  The
-rounds only save work: finding the components of a group of thousands of near copies takes
-a few links each, and the tree, which misses nothing, is left with the few groups that are
-apart.  Groups above BLOCK members are dealt as pairs of blocks.
+Tokens of prefixes are sorted by range, with a band of the set's size behind each, and
+compared with their neighbours, so a token that no set of a like size has too goes no
+further; of tokens with the same members one stays.  The members of a
+token are joined twice: first against the most central one, then, once these links are
+components, by the tree between members of different components only.  So finding the
+components of a group of thousands of near copies takes a few links each.  Groups above
+BLOCK members are dealt as pairs of blocks.
 
 near_links() then counts all links.  A link lies inside one component, so the classes of a
 component are joined with each other by the tree, in pairs of blocks, and every pair that
@@ -38,9 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.store import scratch
+
 from . import bytekit
 from .common import cut, row_key, small
 from .components import components
@@ -49,8 +52,8 @@ SHINGLE = 5
 GROUPS = 256
 #: Bits of a hash that choose a counter of tokens (four million, a byte each), and the parts they are sent in.
 SLOT_BITS, CHUNKS = 22, 64
-#: Rounds of joins with leaders chosen by chance, and the tokens by which a set takes part in one.
-ROUNDS, ROUND_KEYS = 2, 8
+#: Bits of a token that give way to the band of a size.
+BAND_BITS = np.uint64(8)
 #: Pairs whose hub's text is sent once.
 HUB_PAIRS = 500
 #: Members of a key that one task joins; a larger group is dealt as pairs of such blocks.
@@ -152,6 +155,7 @@ def sketch_batch(batch: pa.RecordBatch, classes: np.ndarray) -> pa.RecordBatch:
         counts = np.bincount(bytekit.row_of(rows) * GROUPS + group_of(v), minlength=len(n) * GROUPS).reshape(len(n), GROUPS)
     vectors = np.minimum(counts, 255).astype(np.uint8)
     keys, size = prefixes(v, rows, classes)
+    keys = with_band(keys, np.repeat(n, size))
     return pa.record_batch(
         [
             batch.column("row"),
@@ -166,6 +170,12 @@ def sketch_batch(batch: pa.RecordBatch, classes: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def with_band(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tokens with the band of their set's size in the last bits; linked sets are in one band or two next to each other."""
+    band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(4 / 3)).astype(np.uint64)
+    return (tokens >> BAND_BITS << BAND_BITS) | band
+
+
 def group_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(11)).astype(np.int64) % GROUPS
 
@@ -263,36 +273,47 @@ def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[p
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """members (key, id, label, size, counts) to candidate pairs (a, b) across labels."""
+    """members (key, w, id, label, size, counts) to candidate pairs (a, b) across labels.
+
+    w is the number of tokens that have the key's members.  Two sets of sizes s and t that
+    share o tokens or more have the least o - s + p of them in the prefix of p tokens, so both
+    prefixes share the smaller of the two numbers; pairs that share fewer are out.
+    """
     big = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     d = members.join(big, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     d = d.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    d = d.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "id", "label", "size", "counts")
+    d = d.select("key", "w", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), side.alias("side"), "id", "label", "size", "counts")
     # the pairs of a block inside itself are made where it stands alone
     d = d.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int, int, int], int] = {}
         for t in groups(batches, ("key", "lo", "hi")):
             if t.num_rows < 2:
                 continue
             vectors = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(t.num_rows, GROUPS)
             ids, labels, sizes, sides = (t.column(c).to_numpy() for c in ("id", "label", "size", "side"))
-            seen.update(group_pairs(ids, labels, sizes, vectors, sides))
+            size, w = dict(zip(ids.tolist(), sizes.tolist(), strict=True)), t.column("w")[0].as_py()
+            for x, y in {(min(p), max(p)) for p in group_pairs(ids, labels, sizes, vectors, sides)}:
+                pair = (x, y, size[x], size[y])
+                seen[pair] = seen.get(pair, 0) + w
             if len(seen) > 50_000:
                 yield _pairs(seen)
-                seen = set()
+                seen = {}
         if seen:
             yield _pairs(seen)
 
-    return d.mapInArrow(run, "a long, b long")
+    d = d.mapInArrow(run, "a long, b long, s long, t long, w long").groupBy("a", "b").agg(F.max("s").alias("s"), F.max("t").alias("t"), F.sum("w").alias("w"))
+    least = F.floor((3 * (F.col("s") + F.col("t")) + 6) / 7)
+    in_prefix = lambda c: least - F.col(c) + F.floor(F.col(c) / 4) + 1
+    return d.where(F.col("w") >= F.least(in_prefix("s"), in_prefix("t"))).select("a", "b")
 
 
-def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array([(min(p), max(p)) for p in seen], np.int64).reshape(-1, 2)
-    return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+def _pairs(seen: dict[tuple[int, int, int, int], int]) -> pa.RecordBatch:
+    x = np.array(list(seen), np.int64).reshape(-1, 4)
+    return pa.record_batch([*[pa.array(x[:, i]) for i in range(4)], pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["a", "b", "s", "t", "w"])
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -411,12 +432,59 @@ def counted_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n_links")).withColumnRenamed("row", "id")
 
 
-def apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (key, id, ...) to (key, id, label) of the keys whose members are in different components of links."""
-    labels = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")
-    named = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return cut(named.join(mixed, "key"))
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """Distinct rows of tokens (key, id) whose token another id of a like size has too; key is the token alone.
+
+    Sorted by range, so a token of very many ids is spread; a task holds one row between
+    batches, and what its first and last row need of other tasks is settled by a group over
+    two rows of a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+
+        def judged(t: pa.Table, last: bool) -> pa.Table:
+            key = t.column("key").to_numpy()
+            token, band = key >> np.int64(BAND_BITS), key & np.int64(255)
+            same = np.zeros(len(key), bool)
+            # bands rise within a token, by rounding one of two that may link can be off by one more
+            same[1:] = (token[1:] == token[:-1]) & (band[1:] - band[:-1] <= 2)
+            same[0] = before is not None and token[0] == before >> int(BAND_BITS) and band[0] - (before & 255) <= 2
+            edge = np.zeros(len(key), bool)
+            edge[0], edge[-1] = before is None, last
+            sure = same | np.append(same[1:], False)
+            end = len(key) if last else len(key) - 1
+            return t.append_column("sure", pa.array(sure)).append_column("edge", pa.array(edge)).slice(0, end).filter(pa.array((sure | edge)[:end]))
+
+        def distinct(t: pa.Table) -> pa.Table:
+            key, id_ = t.column("key").to_numpy(), t.column("id").to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
+            return t.filter(pa.array(new))
+
+        for batch in batches:
+            t = distinct(pa.Table.from_batches([b for b in (held, batch) if b is not None]))
+            if t.num_rows > 1:
+                yield from judged(t, False).combine_chunks().to_batches()
+                before = t.column("key")[t.num_rows - 2].as_py()
+            if t.num_rows:
+                held = t.slice(t.num_rows - 1).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield from judged(pa.Table.from_batches([held]), True).combine_chunks().to_batches()
+
+    held_rows = cut(tokens.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, sure boolean, edge boolean"))
+    d = held_rows.withColumn("key", F.shiftright("key", int(BAND_BITS)))
+    ends = d.where("edge").groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    met = d.where("not sure").join(ends, "key", "left_semi")
+    return cut(d.where("sure").unionByName(met).select("key", "id"), held_rows)
+
+
+def memberships(tokens: DataFrame) -> DataFrame:
+    """(key, id, m, w): members of shared tokens, m of them; one token of each set of members stands for w of them."""
+    d = shared_tokens(tokens)
+    sets = cut(d.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("g")))
+    one = sets.groupBy("m", "h", "g").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w"))
+    return cut(d.join(one.select("key", "m", "w"), "key"), d, sets)
 
 
 def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -426,11 +494,12 @@ def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = cut(sketches(keyed))
     # a class goes by one of its rows, which stands for all of them
     classes = cut(s.where("n_shingles > 0").groupBy("set_high", "set_low").agg(F.min("row").alias("id"), F.min("doc_id").alias("class_id"), F.max("n_shingles").alias("size")))
-    reps = s.where("n_shingles > 0").join(classes.select(F.col("id").alias("row")), "row", "left_semi")
-    points = cut(reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "counts", "keys").dropDuplicates(["id"]))
+    # rows that are alike are several points of one id, which what follows takes for one
+    reps = s.where("n_shingles > 0").join(small(classes.select(F.col("id").alias("row")), PAIR_BYTES), "row", "left_semi")
+    points = cut(reps.select(F.col("row").alias("id"), F.col("n_shingles").alias("size"), "counts", "keys"))
     tokens = points.select("id", F.explode("keys").alias("key"))
-    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = cut(tokens.join(shared, "key"))
+    s = cut(s.drop("counts", "keys"), s)
+    members = memberships(tokens)
     central = members.groupBy("id").agg(F.sum("m").alias("weight"))
     weighed = members.join(central, "id")
     # the heaviest member, the least of equals, by two hash aggregates
@@ -438,25 +507,17 @@ def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     leaders = weighed.join(most, ["key", "weight"]).groupBy("key").agg(F.min("id").alias("leader"))
     first = members.join(leaders, "key").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     links = cut(verified(bounded(cut(first), points), texts))
-    for no in range(ROUNDS):
-        open_members = apart(members, links)
-        order = F.xxhash64("key", F.lit(no), "id")
-        chosen = open_members.withColumn("h", order)
-        least = chosen.groupBy("key").agg(F.min("h").alias("h"))
-        hubs = chosen.join(least, ["key", "h"]).groupBy("key").agg(F.min("id").alias("b"), F.min("label").alias("hub_label"))
-        by_id = Window.partitionBy("id").orderBy(F.xxhash64("id", "key", F.lit(no)))
-        some = open_members.withColumn("no", F.row_number().over(by_id)).where(F.col("no") <= ROUND_KEYS)
-        pairs = some.join(hubs, "key").where("label <> hub_label").select(F.col("id").alias("a"), "b").distinct()
-        more = verified(bounded(cut(pairs), points), texts)
-        links = cut(links.unionByName(more).distinct(), links)
-    open_members = cut(apart(members, links).join(points.select("id", "size", "counts"), "id"), members)
+    labels = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))).withColumnRenamed("node", "id")
+    named = members.select("key", "w", "id").join(labels, "id", "left").select("key", "w", "id", F.coalesce("component", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_members = cut(named.join(mixed, "key").join(points.select("id", "size", "counts"), "id"), members)
     more = cut(verified(tree_pairs(open_members), texts), open_members, points)
     every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(every).withColumnRenamed("node", "id")
     classes = cut(classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id")), classes)
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
     of = classes.join(least, "component").select("set_high", "set_low", "id", "class_id", "component_id", "component")
-    d = s.drop("counts", "keys").join(of, ["set_high", "set_low"], "left")
+    d = s.join(of, ["set_high", "set_low"], "left")
     some = F.col("n_shingles") > 0
     own = lambda c: F.when(some, F.col(c)).otherwise(F.col("doc_id")).alias(c)
     return d.select("row", "doc_id", "n_shingles", own("class_id"), own("component_id"), "id", "component"), classes, texts
@@ -485,11 +546,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     That is the one of the least id, then of the least key.  Rows that are alike are one; rows
     without shingles all stay.
     """
-    found = cut(_near(docs)[0].where("component is not null").select("row", "doc_id", "component", "component_id"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("first"))
-    found = found.join(first, "component")
-    lost = cut(found.where("row <> first").select(F.col("row").alias(KEY)).distinct())
-    again = cut(found.where("row = first").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias(KEY)))
+    with scratch(docs.sparkSession):
+        found = cut(_near(docs)[0].where("component is not null").select("row", "doc_id", "component", "component_id"))
+        first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("first"))
+        found = found.join(first, "component")
+        lost = cut(found.where("row <> first").select(F.col("row").alias(KEY)).distinct(), keep=True)
+        again = cut(found.where("row = first").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias(KEY)), keep=True)
     keyed = docs.withColumn(KEY, row_key("doc_id", "text"))
     kept = keyed.join(small(lost, PAIR_BYTES), KEY, "left_anti")
     if n := again.count():
