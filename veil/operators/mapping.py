@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import surrogates as S
 from veil.functions.lexicon import HONORIFICS, PII_TYPES
-from veil.functions.text import let
+from veil.functions.text import first_places, let
 from veil.store import cut, small
 
 from .rules import Config
@@ -26,13 +26,20 @@ from .rules import Config
 ATTEMPTS = 12
 #: Keys that a range of hashes holds, about; the bytes of a row of their counts.
 RANGE_KEYS, RANGE_BYTES = 50_000, 200
-MAPPED = "array<struct<pii_type:string,key:string,surface:string,fake:string>>"
+FIELDS = ("pii_type", "key", "surface", "fake")
+MAPPED = "array<struct<" + ",".join(f"{c}:string" for c in FIELDS) + ">>"
+ALLOTTED = "struct<" + ",".join(f"{c}:string" for c in (*FIELDS, "low")) + ">"
 
 
 def distinct_keys(entities: Column) -> Column:
     """The first surface of each (type, key), in order of place."""
     keyed = F.transform(F.array_sort(entities), lambda e: F.struct(e["pii_type"].alias("pii_type"), S.normalise_key(e["pii_type"], e["text"]).alias("key"), e["text"].alias("surface")))
-    return F.aggregate(keyed, F.slice(keyed, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda p: (p["pii_type"] == x["pii_type"]) & (p["key"] == x["key"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return first_places(keyed, id_of)
+
+
+def id_of(k: Column) -> Column:
+    """A type and key as one string."""
+    return F.concat(k["pii_type"], F.lit("\x1f"), k["key"])
 
 
 def long_tokens(value: Column) -> Column:
@@ -52,8 +59,8 @@ def real_values(entities: Column) -> Column:
 
 
 def free(candidate: Column, original: Column, taken: Column, real: Column) -> Column:
-    low = F.lower(candidate)
-    return (candidate != original) & ~F.exists(taken, lambda m: F.lower(m["fake"]) == low) & ~F.array_contains(real, low)
+    """Whether a candidate is none of the lower-case strings of taken and real, nor the original."""
+    return let(F.lower(candidate), lambda low: (candidate != original) & ~F.coalesce(F.array_contains(taken, low), F.lit(False)) & ~F.array_contains(real, low))
 
 
 def allot(keys: Column, taken: Column, make, real: Column, parts: Column) -> Column:
@@ -64,14 +71,16 @@ def allot(keys: Column, taken: Column, make, real: Column, parts: Column) -> Col
             return F.when(F.arrays_overlap(long_tokens(c), parts), S.repaired(c, parts, F.sha2(F.concat(c, n.cast("string")), 256))).otherwise(c)
 
         def attempt(found: Column, n: Column) -> Column:
-            tried = lambda: let(let(make(k, n), lambda c: whole(c, n)), lambda c: F.when(free(c, k["surface"], acc, real), c))
+            tried = lambda: let(let(make(k, n), lambda c: whole(c, n)), lambda c: F.when(free(c, k["surface"], acc["low"], real), c))
             return F.when(found.isNotNull(), found).otherwise(tried())
 
         fake = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(None).cast("string"), attempt)
-        new = F.struct(k["pii_type"].alias("pii_type"), k["key"].alias("key"), k["surface"].alias("surface"), fake.alias("fake"))
-        return F.array_append(acc, new).cast(MAPPED)
 
-    return F.aggregate(keys, taken.cast(MAPPED), one)
+        # low stands with its fake, as a struct of the whole of acc would be copied at each key
+        return F.array_append(acc, let(fake, lambda f: F.struct(k["pii_type"].alias("pii_type"), k["key"].alias("key"), k["surface"].alias("surface"), f.alias("fake"), F.lower(f).alias("low"))).cast(ALLOTTED))
+
+    start = F.transform(taken.cast(MAPPED), lambda m: F.struct(*[m[c].alias(c) for c in FIELDS], F.lower(m["fake"]).alias("low"))).cast(f"array<{ALLOTTED}>")
+    return F.transform(F.aggregate(keys, start, one), lambda m: F.struct(*[m[c].alias(c) for c in FIELDS])).cast(MAPPED)
 
 
 def of_type(keys: Column, *types: str) -> Column:
@@ -144,12 +153,14 @@ def assign(docs: DataFrame, config: Config, scope: str = "doc_id", column: str =
     rest = F.filter(F.col("_keys"), lambda k: ~k["pii_type"].isin("FULL_NAME", "COMPANY"))
     by_kind = lambda k, n: F.when(k["pii_type"] == "EMAIL", mail(k, n)).when(k["pii_type"] == "DOMAIN", site(k, n)).otherwise(generic(k, n))
     d = d.withColumn("_map", allot(rest, F.col("_map"), by_kind, real, parts))
-    fake_of = lambda x: F.get(F.filter(F.col("_map"), lambda m: (m["pii_type"] == x["pii_type"]) & (m["key"] == S.normalise_key(x["pii_type"], x["text"]))), F.lit(0))["fake"]
-    assigned = F.transform(e, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "source", "pii_type", "text", "confidence", "priority")], fake_of(x).alias("replacement")))
+    own_id = lambda x: F.concat(x["pii_type"], F.lit("\x1f"), S.normalise_key(x["pii_type"], x["text"]))
+    fake_of = lambda x, ids: F.get(F.col("_map"), (F.array_position(ids, own_id(x)) - 1).cast("int"))["fake"]
+    # bound here, as a column of ids could be written into the lambda and computed for each entity
+    assigned = let(F.transform("_map", id_of), lambda ids: F.transform(e, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "source", "pii_type", "text", "confidence", "priority")], fake_of(x, ids).alias("replacement"))))
     d = d.withColumn("assigned", assigned)
     pairs = F.array_distinct(F.transform("assigned", lambda x: F.struct(x["text"].alias("k"), x["replacement"].alias("v"))))
     # a surface that stands under two types keeps the fake of its first place
-    once = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, p: F.when(F.exists(acc, lambda q: q["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p))))
+    once = first_places(pairs, lambda p: p["k"])
     lost = F.array_sort(F.array_distinct(F.transform(F.filter("assigned", lambda x: x["replacement"].isNull()), lambda x: x["pii_type"])))
     status = F.when(F.size(lost) > 0, F.concat(F.lit("no free surrogate: "), F.array_join(lost, ", "))).alias("status")
     return d.withColumn("mapping", F.map_from_entries(once)).select(*keep, "assigned", "mapping", status)

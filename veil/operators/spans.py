@@ -1,7 +1,8 @@
 """Span algebra on arrays of entities: resolve, expand, apply, and relational checks.
 
-The array forms work inside a document's row, without a shuffle.  A document's spans are
-few; the folds are quadratic in them.
+The array forms work inside a document's row, without a shuffle.  The folds copy arrays of
+a document's spans and look up strings in them, which is quadratic but cheap a span; lambdas
+run over groups of spans that overlap.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.functions.lexicon import MIN_LEAK_LENGTH
-from veil.functions.text import cut_out, let, overlaps, quoted, spans
+from veil.functions.text import SPAN, cut_out, first_places, let, overlaps, quoted, spans
 
 from .rules import ENTITY
 
@@ -22,11 +23,30 @@ def keep_free(ordered: Column, chosen: Column) -> Column:
     return F.aggregate(ordered, chosen, lambda acc, x: F.when(F.exists(acc, lambda p: overlaps(p, x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def resolve(entities: Column) -> Column:
-    """Disjoint entities: longest first, then priority, place and source; ordered by place."""
+def greedy(entities: Column) -> Column:
+    """Disjoint entities of a group: longest first, then priority, place and source; ordered by place."""
     ranked = F.transform(entities, lambda e: F.struct((e["start"] - e["end"]).alias("length"), (-e["priority"]).alias("rank"), e["start"].alias("at"), e["source"].alias("source"), e.alias("e")))
-    ordered = F.transform(F.array_sort(ranked), lambda r: r["e"])
-    return F.array_sort(keep_free(ordered, F.slice(ordered, 1, 0)))
+    return let(F.transform(F.array_sort(ranked), lambda r: r["e"]), lambda ordered: F.array_sort(keep_free(ordered, F.slice(ordered, 1, 0))))
+
+
+def groups(ordered: Column) -> Column:
+    """Entities in order of place as arrays; those of one array overlap in a chain, those of two do not."""
+    cuts = F.aggregate(
+        ordered,
+        F.struct(F.lit(-1).alias("end"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("at")),
+        lambda acc, e: F.struct(F.greatest(acc["end"], e["end"]).alias("end"), (acc["n"] + 1).alias("n"), F.when((acc["n"] == 1) | (e["start"] >= acc["end"]), F.array_append(acc["at"], acc["n"])).otherwise(acc["at"]).alias("at")),
+        lambda acc: F.array_append(acc["at"], acc["n"]),
+    )
+    return let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda at, i: F.slice(ordered, at, F.get(c, i + 1) - at)))
+
+
+def resolve(entities: Column) -> Column:
+    """Disjoint entities: longest first, then priority, place and source; ordered by place.
+
+    A choice depends only on entities that overlap in a chain, so each such group is chosen from on its own.
+    """
+    chosen = lambda es: F.flatten(F.transform(groups(es), lambda g: F.when(F.size(g) == 1, g).otherwise(greedy(g))))
+    return let(F.array_sort(entities), chosen)
 
 
 def occurrence_pattern(value: Column) -> Column:
@@ -41,11 +61,13 @@ def expand(text: Column, entities: Column, min_length: int = MIN_LEAK_LENGTH, bl
     With blocks, an array of (start, end), an occurrence must lie inside one.
     """
     long = F.filter(entities, lambda e: F.length(e["text"]) >= min_length)
-    firsts = F.aggregate(F.array_sort(long), F.slice(long, 1, 0), lambda acc, e: F.when(F.exists(acc, lambda p: p["text"] == e["text"]), acc).otherwise(F.concat(acc, F.array(e))))
+    firsts = first_places(F.array_sort(long), lambda e: e["text"])
     ranked = F.array_sort(F.transform(firsts, lambda e: F.struct((-F.length(e["text"])).alias("length"), e["text"].alias("text"), e.alias("e"))))
 
     def more(acc: Column, r: Column) -> Column:
-        found = spans(text, occurrence_pattern(r["e"]["text"]))
+        # the value itself stands in the text, so one place is its own or overlaps it; what starts where a chosen one starts overlaps it
+        places = let(occurrence_pattern(r["e"]["text"]), lambda p: F.when(F.regexp_count(text, p) > 1, spans(text, p)).otherwise(F.array().cast(SPAN)))
+        found = F.filter(places, lambda s: ~F.array_contains(acc["start"], s["start"]))
         if blocks is not None:
             found = F.filter(found, lambda s: F.exists(blocks, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
         new = F.transform(found, lambda s: F.struct(
