@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +28,25 @@ def preceding_label(text: Column, start: Column) -> Column:
     return F.get(fits, F.lit(0))
 
 
+def label_before(left: Column, labels: Sequence[str]) -> Column:
+    """Whether one of some labels ends right before the end of left: one constant pattern, compiled once."""
+    return F.rlike(left, F.lit(r"(?U)(?<![\p{L}\p{N}])(?:" + "|".join(rf"\Q{x}\E" for x in labels) + ")" + GAP + "$"))
+
+
 def is_reference(text: Column, start: Column) -> Column:
-    """Whether the nearest label says that the number is a reference."""
-    return F.coalesce(F.array_contains(strings(NEGATIVE_CONTEXT), preceding_label(text, start)), F.lit(False))
+    """Whether the nearest label says that the number is a reference.
+
+    The labels are told apart one by one only where one of either kind fits.
+    """
+    left = F.lower(left_of(text, start, WINDOW))
+    nearest = F.coalesce(F.array_contains(strings(NEGATIVE_CONTEXT), preceding_label(text, start)), F.lit(False))
+    fits = F.coalesce(label_before(left, NEGATIVE_CONTEXT), F.lit(False))
+    return F.when(~fits, F.lit(False)).when(~label_before(left, BIRTH_CUES), F.lit(True)).otherwise(nearest)
 
 
 def has_birth_cue(text: Column, start: Column) -> Column:
     left = F.lower(left_of(text, start, WINDOW))
-    return F.exists(strings(BIRTH_CUES), lambda cue: F.contains(left, cue))
+    return F.rlike(left, F.lit("|".join(rf"\Q{x}\E" for x in BIRTH_CUES)))
 
 
 def digit_run(text: Column, start: Column, end: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import context, validators
 from veil.functions.lexicon import GENERIC_ENTITY_WORDS, NAME_STOP_TOKENS, PII_TYPES, PRIORITY_REGEX, PRIORITY_VALIDATED, SPACED_TLDS
-from veil.functions.text import cut_out, digits_of, spans, strings
+from veil.functions.text import cut_out, digits_of, let, spans, strings
 
 #: In this order an array of entities sorts by place, then source.
 ENTITY = "struct<start:int,end:int,source:string,pii_type:string,text:string,confidence:double,priority:int>"
@@ -99,7 +99,7 @@ def words_of(value: Column) -> Column:
 
 def check_contact(text: Column, span: Column, config: Config) -> Column:
     tokens = F.transform(words_of(span["text"]), lambda w: F.regexp_replace(F.lower(w), r"^\.+|\.+$", ""))
-    return (F.size(tokens) >= 2) & ~F.arrays_overlap(tokens, strings(NAME_STOP_TOKENS))
+    return let(tokens, lambda t: (F.size(t) >= 2) & ~F.arrays_overlap(t, strings(NAME_STOP_TOKENS)))
 
 
 def check_domain(text: Column, span: Column, config: Config) -> Column:
@@ -140,7 +140,8 @@ RULES = [
     ),
     Rule(
         "address", "ADDRESS", PRIORITY_REGEX,
-        r"(?iU)(?:\d{1,5}\s+[^\n]{3,80}?\b(?:" + _STREETS + r")\.?(?![A-Za-z])|\b(?:Plot|Flat|House|Shop|Unit|Gat|Survey|Khasra|Door)\b[ \t]*(?:No\.?)?[ \t]*\d{1,5})[^\n]{0,60}?\d{5,6}",
+        # the first number starts where no digit stands before it, or with its last five: other starts match from the same place on
+        r"(?iU)(?:(?:\G|(?<!\d)|(?=\d{5}\s))\d{1,5}\s+[^\n]{3,80}?\b(?:" + _STREETS + r")\.?(?![A-Za-z])|\b(?:Plot|Flat|House|Shop|Unit|Gat|Survey|Khasra|Door)\b[ \t]*(?:No\.?)?[ \t]*\d{1,5})[^\n]{0,60}?\d{5,6}",
         hint=r"(?U)\d{5}", check=check_address,
     ),
     Rule("ssn", "SSN", PRIORITY_VALIDATED, r"(?U)(?<!\d)\d{3}[\s\-]\d{2}[\s\-]\d{4}(?!\d)", hint=r"(?U)\d{4}", check=check_ssn),

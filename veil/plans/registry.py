@@ -68,7 +68,7 @@ def cases(spark: SparkSession, sf_dir: str, rows: Sequence[Sequence], names: Seq
         value = F.element_at(all_, (key % len(rows) + 1).cast("int"))
         return (F.replace(value, F.lit(MARK), number) if kinds[i] is str else value).alias(names[i])
 
-    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), *[pick(i) for i in range(len(names))])
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(key.alias("doc_id"), *[pick(i) for i in range(len(names))])
 
 
 def cases_sql(rows: Sequence[Sequence], names: Sequence[str]) -> str:
