@@ -10,7 +10,7 @@ from veil.functions.lexicon import BIRTH_CUES, NEGATIVE_CONTEXT
 from veil.functions.text import strings
 from veil.plans import catalogue
 
-DEALT = ["many_firms", "resolve_all", "rule_values", "counts_by_type"]
+DEALT = ["many_firms", "resolve_all", "rule_values", "counts_by_type", "detect_all"]
 
 
 @pytest.mark.parametrize("name", DEALT)
