@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import context, validators
 from veil.functions.lexicon import GENERIC_ENTITY_WORDS, NAME_STOP_TOKENS, PII_TYPES, PRIORITY_REGEX, PRIORITY_VALIDATED, SPACED_TLDS
-from veil.functions.text import cut_out, digits_of, let, spans, strings
+from veil.functions.text import cut_out, digits_of, let, spans, strings, unmarked
 
 #: In this order an array of entities sorts by place, then source.
 ENTITY = "struct<start:int,end:int,source:string,pii_type:string,text:string,confidence:double,priority:int>"
@@ -66,9 +66,9 @@ def check_email(text: Column, span: Column, config: Config) -> Column:
 
 
 def check_phone(text: Column, span: Column, config: Config) -> Column:
-    n = F.length(digits_of(span["text"]))
+    enough = let(F.length(digits_of(span["text"])), lambda n: n.between(7, 15))
     whole = F.length(context.digit_run(text, span["start"], span["end"])) <= 15
-    return ~span["text"].rlike(r"[\r\n]") & n.between(7, 15) & whole & unlabelled(text, span, config)
+    return ~span["text"].rlike(r"[\r\n]") & enough & whole & unlabelled(text, span, config)
 
 
 def check_ssn(text: Column, span: Column, config: Config) -> Column:
@@ -76,8 +76,8 @@ def check_ssn(text: Column, span: Column, config: Config) -> Column:
 
 
 def check_card(text: Column, span: Column, config: Config) -> Column:
-    d = digits_of(span["text"])
-    return F.length(d).between(13, 19) & (validators.luhn_valid(d) | validators.card_scheme_match(d)) & unlabelled(text, span, config)
+    card = let(digits_of(span["text"]), lambda d: F.length(d).between(13, 19) & (F.call_function("luhn_check", d) | validators.card_scheme_match(d)))
+    return card & unlabelled(text, span, config)
 
 
 def check_ip(text: Column, span: Column, config: Config) -> Column:
@@ -85,8 +85,8 @@ def check_ip(text: Column, span: Column, config: Config) -> Column:
 
 
 def check_dob(text: Column, span: Column, config: Config) -> Column:
-    born = validators.parse_date(span["text"])
-    return context.has_birth_cue(text, span["start"]) & born.isNotNull() & validators.plausible_birth(born, config.today)
+    plausible = let(validators.parse_date(span["text"]), lambda born: born.isNotNull() & validators.plausible_birth(born, config.today))
+    return context.has_birth_cue(text, span["start"]) & plausible
 
 
 def check_address(text: Column, span: Column, config: Config) -> Column:
@@ -94,7 +94,7 @@ def check_address(text: Column, span: Column, config: Config) -> Column:
 
 
 def words_of(value: Column) -> Column:
-    return F.filter(F.split(value, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(value, F.lit(r"(?U)\S+"), F.lit(0))
 
 
 def check_contact(text: Column, span: Column, config: Config) -> Column:
@@ -141,7 +141,7 @@ RULES = [
     Rule(
         "address", "ADDRESS", PRIORITY_REGEX,
         # the first number starts where no digit stands before it, or with its last five: other starts match from the same place on
-        r"(?iU)(?:(?:\G|(?<!\d)|(?=\d{5}\s))\d{1,5}\s+[^\n]{3,80}?\b(?:" + _STREETS + r")\.?(?![A-Za-z])|\b(?:Plot|Flat|House|Shop|Unit|Gat|Survey|Khasra|Door)\b[ \t]*(?:No\.?)?[ \t]*\d{1,5})[^\n]{0,60}?\d{5,6}",
+        r"(?iU)(?:(?=\d)(?:\G|(?<!\d)|(?=\d{5}\s))\d{1,5}\s+[^\n]{3,80}?\b(?:" + _STREETS + r")\.?(?![A-Za-z])|\b(?:Plot|Flat|House|Shop|Unit|Gat|Survey|Khasra|Door)\b[ \t]*(?:No\.?)?[ \t]*\d{1,5})[^\n]{0,60}?\d{5,6}",
         hint=r"(?U)\d{5}", check=check_address,
     ),
     Rule("ssn", "SSN", PRIORITY_VALIDATED, r"(?U)(?<!\d)\d{3}[\s\-]\d{2}[\s\-]\d{4}(?!\d)", hint=r"(?U)\d{4}", check=check_ssn),
@@ -175,9 +175,9 @@ class Registry:
 REGISTRY = Registry(RULES)
 
 
-def rule_spans(text: Column, rule: Rule, config: Config) -> Column:
-    """Entities of one rule; texts without the rule's hint skip its pattern."""
-    found = spans(text, rule.pattern, rule.group)
+def rule_spans(text: Column, rule: Rule, config: Config, copy: Column | None = None) -> Column:
+    """Entities of one rule; texts without the rule's hint skip its pattern.  copy is unmarked(text), where it is at hand."""
+    found = spans(text, rule.pattern, rule.group, copy)
     if rule.check:
         found = F.filter(found, lambda s: F.coalesce(rule.check(text, s, config), F.lit(False)))
     out = F.transform(
@@ -200,10 +200,10 @@ _built: dict[tuple, dict[str, Column]] = {}
 
 
 def built(docs: DataFrame, rules: tuple[Rule, ...], config: Config) -> dict[str, Column]:
-    """The rules' expressions over _text, made once a session and configuration."""
+    """The rules' expressions over _text and _copy, made once a session and configuration."""
     key = (docs.sparkSession.sparkContext.applicationId, tuple((r.pii_type, r.name, r.pattern) for r in rules), config)
     if key not in _built:
-        _built[key] = {f"_{r.name}": rule_spans(F.col("_text"), r, config) for r in rules}
+        _built[key] = {f"_{r.name}": rule_spans(F.col("_text"), r, config, F.col("_copy")) for r in rules}
     return _built[key]
 
 
@@ -217,9 +217,9 @@ def detect(docs: DataFrame, config: Config | None = None, registry: Registry = R
     if not rules:
         return docs.withColumn(out, F.array().cast(f"array<{ENTITY}>"))
     # the text is bound once, so rules refer to a column and not to an expression
-    docs = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    docs = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_copy", unmarked(F.col("_text")))
     parts = built(docs, tuple(rules), config)
-    return docs.select("*", *[c.alias(n) for n, c in parts.items()]).withColumn(out, F.array_sort(F.concat(*parts))).drop("_text", *parts)
+    return docs.select("*", *[c.alias(n) for n, c in parts.items()]).withColumn(out, F.array_sort(F.concat(*parts))).drop("_text", "_copy", *parts)
 
 
 def explode_entities(docs: DataFrame, *keys: str, column: str = "entities") -> DataFrame:
