@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veil.functions.text import BEHIND, MARK, OTHER, spans
 from veil.plans import catalogue
 
-MARKED = ["detect_all", "counts_by_type"]
+MARKED = ["detect_all", "counts_by_type", "rule_values"]
 
 
 @pytest.mark.parametrize("name", MARKED)
